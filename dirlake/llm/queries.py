@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlake.llm import quality_qda, quality_rules
+from dirlake.llm import bagminhash, quality_qda, quality_rules
 from dirlake.llm.common import documents
 
 
@@ -15,13 +15,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).select("doc_id", "_q.*")
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_qda.classify(documents(spark, sf_dir), labels).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op7_quality_classifier)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_bag_minhash, op7_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlake.llm import bagminhash, quality_qda, quality_rules
+from dirlake.llm import bagminhash, mixing, packing, quality_qda, quality_rules, url_rules
 from dirlake.llm.common import documents
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_rules.judge(pages).select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).select("doc_id", "_q.*")
 
@@ -19,14 +24,62 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_qda.classify(documents(spark, sf_dir), labels).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+#: The fixed rules of op2 and the words its method blocks.
+OP2_SQL = """
+WITH p AS (SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '://[^/?#]*([^#]*)', 1), '') AS rest FROM pages),
+q AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN rest LIKE '%/%' AND regexp_matches(host, '(^|[^a-z0-9])(adult|pills|casino)([^a-z0-9]|$)') THEN 'block'
+    WHEN regexp_matches(host || rest, '/(login|cart)([^a-zA-Z0-9_.%-]|$)') THEN 'block'
+    WHEN regexp_matches(host || rest, '(^|[^a-zA-Z0-9])sessionid=') THEN 'block'
+    WHEN regexp_matches(host || rest, '(^|[^a-zA-Z0-9])click([^a-zA-Z0-9](.|\\n)*)?[^a-zA-Z0-9]redirect=') THEN 'block'
+    ELSE 'allow' END AS verdict FROM q
+"""
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, source, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT source, source_size, CAST([1, 5, 2][place % 3 + 1] AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio FROM w),
+held AS (SELECT a.source, a.ratio, a.weight,
+    (SELECT sum(source_size) FROM w) - coalesce((SELECT sum(b.cap) FROM r b WHERE b.ratio < a.ratio), 0) AS words,
+    (SELECT sum(b.weight) FROM r b WHERE b.ratio >= a.ratio) AS weights FROM r a),
+level AS (SELECT arg_min(words / weights, ratio) AS level FROM held WHERE words / weights <= ratio),
+t AS (SELECT w.source, source_size, least(cap, level * weight) AS target FROM w, level),
+q AS (SELECT d.*, t.source_size, t.target, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+    CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size))
+    + greatest(0, least(size, floor(target) - before - 2 * source_size)) AS BIGINT) AS taken FROM q
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_bag_minhash, op7_quality_classifier)}
+    return {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL}

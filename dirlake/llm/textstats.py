@@ -91,6 +91,16 @@ class Texts:
         return self.hashes(self.starts, self.stops)
 
 
+def count_words(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words of each text, without the hashes."""
+    space = _SPACE[raw]
+    opened = np.empty(len(raw) + 1, bool)
+    opened[0] = True
+    opened[1:] = space
+    opened[ends] = True
+    return _per_text(~space & opened[:-1], ends)
+
+
 def windows(words: np.ndarray, n_words: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of `width` words inside a text, and the position of each window's first word."""
     if len(words) < width:

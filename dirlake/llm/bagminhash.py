@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def _struct(t: Texts, one: np.ndarray, two: np.ndarray, bands: np.ndarray) -> pa
     lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
     some = pa.array(t.n_words > 0)
     none = pa.scalar(None, lists.type)
-    return pa.StructArray.from_arrays([pa.array(t.n_words.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.compute.if_else(some, lists, none)], ["n_words", "one", "two", "bands"])
+    return pa.StructArray.from_arrays([pa.array(t.n_words.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pc.if_else(some, lists, none)], ["n_words", "one", "two", "bands"])
 
 
 def describe(text: Column) -> Column:

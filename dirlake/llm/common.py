@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def running_sums(df: DataFrame, key: str, order: Sequence[str], values: Sequence
             if batch.num_rows:
                 keys = batch.column(key)
                 part, last = batch.column("_part")[0].as_py(), keys[-1].as_py()
-                same = np.asarray(pa.compute.equal(keys, keys[-1]).to_numpy(zero_copy_only=False), bool)
+                same = np.asarray(pc.equal(keys, keys[-1]).to_numpy(zero_copy_only=False), bool)
                 own = np.array([_wrapped(batch.column(v), same) for v in names], np.int64)
                 with np.errstate(over="ignore"):
                     sums = sums + own if last == current else own
@@ -158,4 +159,4 @@ def _differs(keys: pa.Array) -> np.ndarray:
     """Whether each key but the first differs from the one before it."""
     if len(keys) < 2:
         return np.zeros(0, bool)
-    return pa.compute.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    return pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False).astype(bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlake.llm import bagminhash, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
+from dirlake.llm import bagminhash, embed_neardup, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
 from dirlake.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.classify(documents(spark, sf_dir), labels).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_neardup.near_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir)).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
@@ -85,9 +89,21 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+OP8_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS node, vec_id AS other FROM e UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN least ON vec_id = node LEFT JOIN n ON a = vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op9_language_id, op10_lattice_lm)}
+    return {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL}
+    return {"op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL, "op8_embedding_neardup": OP8_SQL}

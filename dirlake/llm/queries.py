@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlake.llm import bagminhash, embed_neardup, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
+from dirlake.llm import bagminhash, chat, embed_neardup, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
 from dirlake.llm.common import documents
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return url_rules.judge(pages).select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
@@ -49,6 +53,18 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(documents(spark, sf_dir))
 
 
+OP1_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY n) AS turns FROM r GROUP BY conv_id),
+same AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_logged, any_value(n_turns) AS n_turns FROM c GROUP BY turns),
+kept AS (SELECT * FROM same s WHERE NOT EXISTS (SELECT 1 FROM same b WHERE b.n_turns > s.n_turns AND b.turns[1] = s.turns[1] AND list_slice(b.turns, 1, s.n_turns) = s.turns))
+SELECT k.conv_id, CAST((n - 1) // 64 AS INTEGER) AS part, k.n_turns, k.n_logged,
+    string_agg('<|im_start|>' || replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || chr(10)
+        || replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') || '<|im_end|>' || chr(10), '' ORDER BY n) AS text
+FROM kept k JOIN r ON k.conv_id = r.conv_id GROUP BY ALL
+"""
+
 #: The fixed rules of op2 and the words its method blocks.
 OP2_SQL = """
 WITH p AS (SELECT page_id, url,
@@ -102,8 +118,8 @@ FROM e JOIN least ON vec_id = node LEFT JOIN n ON a = vec_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL, "op8_embedding_neardup": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL, "op8_embedding_neardup": OP8_SQL}

@@ -44,3 +44,26 @@ def resolve(name: str) -> str:
     if low not in NAMES:
         raise ValueError(f"unknown dialect: {name}")
     return low
+
+
+class Signature:
+    """What an entry of a dialect looks like: parts of its name, starts of its attribute names, its object classes, and words in either."""
+
+    def __init__(self, dn: tuple[str, ...] = (), prefixes: tuple[str, ...] = (), classes: tuple[str, ...] = (), attributes: tuple[str, ...] = ()) -> None:
+        self.dn, self.prefixes, self.classes, self.attributes = dn, prefixes, classes, attributes
+
+
+SIGNATURES = {
+    "ad": Signature(("cn=users", "cn=computers", "cn=configuration", "cn=system", "ou=domain controllers"), (), ("user", "computer", "group", "domainpolicy", "foreignsecurityprincipal", "msds-groupmanagedserviceaccount", "msds-managedserviceaccount"), ("objectguid", "objectsid", "samaccountname", "userprincipalname", "ntsecuritydescriptor")),
+    "ds389": Signature(("cn=monitor", "cn=changelog"), ("nsslapd-", "nsds", "nsuniqueid"), ("nscontainer", "nsperson", "nsds5replica", "nsds5replicationagreement", "nsorganizationalunit", "nsorganizationalperson")),
+    "openldap2": Signature(("cn=settings", "cn=monitor"), ("olc",), ("olcglobal", "olcdatabaseconfig", "olcldapconfig", "olcmdbconfig", "olcbdbconfig")),
+    "openldap1": Signature((), ("attributetype", "objectclass ", "access ", "rootdn"), ()),
+    "novell": Signature(("ou=services", "ou=apps", "ou=system"), ("nspm", "login", "dirxml-"), ("ndsperson", "nspmpasswordpolicy", "ndsserver", "ndstree", "ndsloginproperties"), ("nspmpasswordpolicydn", "guid")),
+    "ibm_tivoli": Signature(("cn=ibm",), ("ibm-", "ids-"), ()),
+    "apache": Signature(("ou=config",), ("ads-", "apacheds"), ()),
+    "oid": Signature(("cn=orcl", "ou=oracle"), ("orcl",), ("orcluser", "orcluserv2", "orclcontainer", "orclgroup", "orclprivilegegroup")),
+    "oud": Signature(("cn=root dns",), ("ds-sync-", "ds-pwp-", "ds-cfg-"), ()),
+}
+#: Structural classes of which an entry has one, and attributes that a domain may not have.
+STRUCTURAL = ("domain", "organization", "organizationalunit", "person", "groupofuniquenames", "groupofnames", "orclsubscriber", "orclgroup", "customsistemas", "customuser")
+NOT_IN_DOMAIN = ("cn", "uniquemember", "member", "orclsubscriberfullname", "orclversion", "orclgroupcreatedate")

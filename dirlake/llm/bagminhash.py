@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dirlake.llm.common import pieces, work_table
@@ -183,25 +183,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     is 0.8 or more. Repeated rows, and ids on several rows, are judged row by row. Null and empty texts link with nothing
     and are classes of their own id. Null ids come last in a class; a class of null ids alone has a null id.
 
-    Texts with equal words are one candidate. In each bucket of a band, all candidates are first compared with one
-    of them, which settles large groups of near copies without pairing them up. Where a bucket then still
-    holds several components, its candidates of different components are compared with each other.
+    Texts with equal words are one candidate. In each bucket of a band, all candidates are first compared with the most
+    central one, the one whose buckets are fullest; that settles large groups of near copies without pairing them up. Where a bucket then still
+    holds several components, its candidates of different components are compared with each other, unless exact bounds rule a link
+    out (see _able and _crossing). So the result is that of comparing all pairs of a bucket.
     """
     rows = work_table(docs.select(F.col(doc_id).alias("doc"), describe(F.col(text)).alias("s")).select("doc", "s.*").withColumn("rep", F.xxhash64("one", "two")))
     reps = work_table(rows.where("bands is not null").groupBy("rep").agg(F.min("doc").alias("doc"), F.first(F.struct("one", "two", "n_words", "bands")).alias("s")).select("rep", "doc", "s.*"))
     band = reps.select("rep", "n_words", F.posexplode("bands").alias("band", "value"))
-    hubs = band.groupBy("band", "value").agg(F.min(F.struct("rep", "n_words")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("band", "value", "hub")
-    near = work_table(band.join(hubs, ["band", "value"]).select("rep", "n_words", "hub"))
-    texts = _texts(docs, text, doc_id, near.select("rep").distinct().join(reps, "rep").select("rep", "doc", "one", "two"))
-    first = work_table(near.where((F.col("rep") != F.col("hub.rep")) & _close("n_words", "hub.n_words")).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    full = work_table(band.join(band.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1"), ["band", "value"]))
+    crowd = full.join(full.groupBy("rep").agg(F.sum("members").alias("crowd")), "rep")
+    hubs = crowd.groupBy("band", "value").agg(F.max(F.struct("crowd", "rep", "n_words")).alias("hub"))
+    near = full.join(hubs, ["band", "value"]).where((F.col("rep") != F.col("hub.rep")) & _close("n_words", "hub.n_words"))
+    first = work_table(near.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    texts = _texts(docs, text, doc_id, full.select("rep").distinct().join(reps, "rep").select("rep", "doc", "one", "two"))
     links = work_table(verified(first, texts))
     found = components(links)
-    named = reps.join(found, F.col("rep") == F.col("node"), "left").select("rep", "n_words", F.coalesce("component", "rep").alias("comp"), F.posexplode("bands").alias("band", "value"))
-    mixed = named.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "value")
-    members = work_table(named.join(mixed, ["band", "value"]))
-    x, y = (members.select(*(F.col(c).alias(f"{c}_{k}") for c in members.columns)) for k in "xy")
-    rest = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("value_x") == F.col("value_y")) & (F.col("comp_x") < F.col("comp_y")) & _close("n_words_x", "n_words_y"))
-    rest = rest.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    members = _mixed(full.drop("members"), found)
+    able = _able(members, texts)
+    # once more a star, around the candidate that shares most, before the others are compared with each other
+    most = able.groupBy("band", "value").agg(F.min(F.struct((F.col("total") - F.col("shared")).alias("own"), "rep", "total", "shared")).alias("hub"))
+    again = able.join(most, ["band", "value"]).where(_bound("shared", "hub.shared", "total", "hub.total") & (F.col("rep") != F.col("hub.rep"))).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    again = work_table(again.join(first, ["a", "b"], "left_anti"))
+    links = work_table(links.union(verified(again, texts)))
+    found = components(links)
+    able = _able(_mixed(able.drop("comp", "shared", "total"), found), texts)
+    rest = _crossing(able, texts)
+    tried = first.union(again)
+    rest = rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
     more = work_table(verified(rest, texts))
     final = found if more.isEmpty() else components(links.union(more))
     placed = reps.select("rep", F.col("doc").alias("least")).join(final, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("comp"))
@@ -211,6 +220,86 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return out.select(F.col("doc").alias(doc_id), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _bound(shared: str, others: str, total: str, all_others: str) -> Column:
+    """Whether what two candidates share with any allows a link, which needs 4/9 of the sum of both."""
+    return 9 * F.least(F.col(shared), F.col(others)) >= 4 * (F.col(total) + F.col(all_others))
+
+
+def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (rep, band, value, ...) of buckets with several components, and each candidate's component `comp`."""
+    named = rows.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+    mixed = named.groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "value")
+    return work_table(named.join(mixed, ["band", "value"]))
+
+
+def _crossing(able: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of different components in one bucket that may link.
+
+    Let a bucket's hub be its candidate that shares most, and the excess of a text its shingles' weight beyond the hub's. Two texts of
+    total weights n and m and excesses e and f that share no excess differ in e + f + |e - f + m - n| at least, and a link differs in a ninth of n + m
+    at most. So a link needs either small excesses, or a shared excess shingle. For the second, a text's excess shingles
+    are taken from the rarest on up to a weight of n / 5 + 1: two texts that link and pass e or f beyond that agree on one of them.
+    """
+    most = able.groupBy("band", "value").agg(F.min(F.struct((F.col("total") - F.col("shared")).alias("own"), "rep")).alias("m")).select("band", "value", F.col("m.rep").alias("hub"))
+    placed = work_table(able.join(most, ["band", "value"]))
+    over = work_table(_excess(placed.select("rep", "hub", "comp", "total", "shared").distinct(), texts))
+    sums = over.groupBy("rep", "hub").agg(F.sum("w").alias("excess"))
+    near = placed.join(sums, ["rep", "hub"], "left").select("band", "value", "rep", "comp", "total", "shared", F.coalesce("excess", F.lit(0)).alias("excess"))
+    x, y = (near.select(*(F.col(c).alias(f"{c}_{k}") for c in near.columns)) for k in "xy")
+    differ = F.col("excess_x") + F.col("excess_y") + F.abs(F.col("excess_x") - F.col("excess_y") + F.col("total_y") - F.col("total_x"))
+    small = x.join(y, (F.col("band_x") == F.col("band_y")) & (F.col("value_x") == F.col("value_y")) & (F.col("comp_x") < F.col("comp_y")) & _bound("shared_x", "shared_y", "total_x", "total_y") & (9 * differ <= F.col("total_x") + F.col("total_y")))
+    seen = over.groupBy("hub", "h").agg(F.count("*").alias("n"))
+    rare = Window.partitionBy("hub", "rep").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)
+    first = over.join(seen, ["hub", "h"]).withColumn("before", F.coalesce(F.sum("w").over(rare), F.lit(0))).where("before * 5 <= total + 5 and n > 1")
+    u, v = (first.select(*(F.col(c).alias(f"{c}_{k}") for c in ("hub", "h", "rep", "comp", "total", "shared"))) for k in "xy")
+    common = u.join(v, (F.col("hub_x") == F.col("hub_y")) & (F.col("h_x") == F.col("h_y")) & (F.col("comp_x") < F.col("comp_y")) & _bound("shared_x", "shared_y", "total_x", "total_y"))
+    return small.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).union(common.select("rep_x", "rep_y")).distinct()
+
+
+def _excess(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, hub, comp, total, shared, h, w): the shingles of `rep` beyond those of `hub`, for each row of `pairs`."""
+    one, two = texts.select(F.col("id").alias("rep"), F.col("text").alias("ta")), texts.select(F.col("id").alias("hub"), F.col("text").alias("tb"))
+    both = pairs.join(one, "rep").join(two, "hub").select("rep", "hub", "comp", "total", "shared", "ta", "tb")
+    keep = ["rep", "hub", "comp", "total", "shared"]
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo = 0
+            for p in pieces(batch.column("ta"), 1 << 19):
+                doc, h, w = shingles(Texts.of(p))
+                other, g, v = shingles(Texts.of(batch.column("tb").slice(lo, len(p))))
+                d, k, x, own = (np.concatenate(c) for c in ((doc, other), (h, g), (w, v), (np.ones(len(h), bool), np.zeros(len(g), bool))))
+                order = np.lexsort((own, k, d))
+                d, k, x, own = d[order], k[order], x[order], own[order]
+                held = np.concatenate([[0], np.where((d[1:] == d[:-1]) & (k[1:] == k[:-1]), x[:-1], 0)]) if len(d) else x
+                at = np.flatnonzero(own & (x > held))
+                rows = pa.array(lo + d[at])
+                lo += len(p)
+                yield pa.record_batch([*(batch.column(c).take(rows) for c in keep), pa.array(k[at].view(np.int64)), pa.array((x - held)[at])], names=[*keep, "h", "w"])
+
+    return both.mapInArrow(beyond, "rep bigint, hub bigint, comp bigint, total bigint, shared bigint, h bigint, w bigint")
+
+
+def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows (rep, comp, ...) of `members` that could link with another component's candidate, with their shingles' weight `total` and what of it is in several components, `shared`."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo = 0
+            for p in pieces(batch.column("text")):
+                doc, h, w = shingles(Texts.of(p))
+                at = pa.array(lo + doc)
+                lo += len(p)
+                yield pa.record_batch([batch.column("rep").take(at), batch.column("comp").take(at), pa.array(h.view(np.int64)), pa.array(w)], names=["rep", "comp", "h", "w"])
+
+    named = texts.withColumnRenamed("id", "rep").join(members.select("rep", "comp").distinct(), "rep").select("rep", "comp", "text")
+    each = work_table(named.mapInArrow(exploded, "rep bigint, comp bigint, h bigint, w bigint"))
+    several = each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+    shared = each.join(several, "h").groupBy("rep").agg(F.sum("w").alias("shared"))
+    total = each.groupBy("rep").agg(F.sum("w").alias("total"))
+    return work_table(members.join(total.join(shared, "rep"), "rep").where("5 * shared >= 4 * total"))
+
+
 def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
     """(id, text), one row for each row (rep, doc, one, two) of `wanted`."""
 

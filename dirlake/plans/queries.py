@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlake.functions import acl, attrs as A, dn as N, schema4512 as S, text as T, validate as V
-from dirlake.operators import entries as E
+from dirlake.functions import acl, acl_dialects as L, attrs as A, dn as N, schema4512 as S, syntaxes as Y, text as T, validate as V
+from dirlake.operators import entries as E, more as M
 from dirlake.plans import tree
 from dirlake.sources import ldif
 
@@ -447,3 +447,116 @@ def ldif_asia_classes(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: entries to LDIF text and back, those under a base, counted by object class."""
     parsed = _round_trip(tree.customers(spark, sf)).where("error is null")
     return E.object_class_counts(E.by_base(parsed, "ou=ASIA," + tree.BASE))
+
+
+# --- further operators ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'directory_string' WHEN 1 THEN 'boolean' END AS syntax, CASE p_partkey % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'boolean' END AS kind FROM part")
+def syntax_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    oid = F.concat(F.lit(Y.PREFIX), F.element_at(F.array(F.lit("15"), F.lit("7"), F.lit("999")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return tree.table(spark, sf, "part").select("p_partkey", Y.syntax_name(oid).alias("syntax"), Y.syntax_kind(oid).alias("kind"))
+
+
+@query(_TREE + """SELECT n_nationkey, 'a|group|cn=g,' || unit || '|read,write' AS aci, 'attr|group|cn=g,' || unit || '|read,write' AS oid, 'dn.base="' || unit || '"|who|users|compare,search,read' AS openldap,
+    unit || '|user|cn=t|search,read' AS novell, '*|sddl|O:BAG:DU|' AS ad FROM n""")
+def acl_dialects(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("unit")
+    lines = {
+        "aci": ("oud", F.concat(F.lit('(targetattr="cn")(version 3.0; acl "a"; allow (read, write) groupdn="ldap:///cn=g,'), u, F.lit('";)'))),
+        "oid": ("oid", F.concat(F.lit('orclaci: access to attr=(cn,sn) by group="cn=g,'), u, F.lit('" (read,write) by * (none)'))),
+        "openldap": ("openldap2", F.concat(F.lit('olcAccess: {0}to dn.base="'), u, F.lit('" by users read by * none'))),
+        "novell": ("novell", F.concat(u, F.lit("#cn=t#[BR]"))),
+        "ad": ("ad", F.lit("nTSecurityDescriptor: O:BAG:DU")),
+    }
+    show = lambda a, first: F.concat_ws("|", a[first], a["subject_type"], a["subject"], F.array_join(a["permissions"], ","))
+    return tree.nations(spark, sf).select("n_nationkey", *(show(L.parse_acl(line, d), "name" if k == "aci" else "target").alias(k) for k, (d, line) in lines.items()))
+
+
+@query(_TREE + """SELECT n_nationkey, '(targetattr="cn||sn")(version 3.0; acl "orclaci"; allow (read, write) groupdn="ldap:///cn=g,' || unit || '";)' AS aci, 'access to attr=(cn,sn) by group="cn=g,' || unit || '" (read,write)' AS oid,
+    'to attr by cn=g,' || unit || ' write' AS openldap, 'attr#cn=g,' || unit || '#[RW]' AS novell FROM n""")
+def acl_translate(spark: SparkSession, sf: str) -> DataFrame:
+    a = L.parse_acl(F.concat(F.lit('access to attr=(cn,sn) by group="cn=g,'), "unit", F.lit('" (read,write)')), "oid")
+    return tree.nations(spark, sf).select("n_nationkey", L.write_acl(a, "oud").alias("aci"), L.write_acl(a, "oid").alias("oid"), L.write_acl(a, "openldap2").alias("openldap"), L.write_acl(a, "novell").alias("novell"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 AS ad, c_custkey % 3 = 1 AS oid, c_custkey % 3 = 2 AS ds389 FROM customer")
+def dialect_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.lit("cn=a,CN=Users,dc=x")).otherwise(F.lit("cn=a,dc=x"))
+    attrs = F.when(k % 3 == 1, A.entry_attrs(A.attr("orclGUID", F.lit("1")))).when(k % 3 == 2, A.entry_attrs(A.attr("objectClass", F.lit("nsPerson")))).otherwise(A.entry_attrs())
+    return tree.table(spark, sf, "customer").select("c_custkey", *(M.looks_like(name, attrs, d).alias(d) for d in ("ad", "oid", "ds389")))
+
+
+def _schema_entries(spark: SparkSession, sf: str) -> DataFrame:
+    d = _definitions(spark, sf)
+    return d.select("p_partkey", F.lit("cn=schema").alias("dn"), A.entry_attrs(A.attr("cn", F.lit("schema")), A.attr("attributeTypes", F.col("attribute"), F.lit("( 9.9 NAME 'x' )")), A.attr("objectClasses", F.col("cls"))).alias("attrs"))
+
+
+@query("SELECT '1.3.6.1.4.1.' || p_partkey AS oid, 'attribute' AS kind FROM part UNION ALL SELECT '9.9', 'attribute' FROM part UNION ALL SELECT '2.5.' || p_partkey, 'objectclass' FROM part")
+def schema_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return M.schema_items(_schema_entries(spark, sf)).select(S.oid_of(F.col("definition")).alias("oid"), "kind")
+
+
+@query("SELECT p_partkey, 2 AS attributes, CASE WHEN starts_with('' || p_partkey, '1') THEN 2 ELSE 1 END AS types FROM part")
+def schema_value_whitelist(spark: SparkSession, sf: str) -> DataFrame:
+    kept = M.whitelist_values(F.col("attrs"), ["1.3.6.1.4.1.1*", "9.9"])
+    return _schema_entries(spark, sf).select("p_partkey", F.size(kept).alias("attributes"), F.size(A.values_of(kept, "attributeTypes")).alias("types"))
+
+
+@query("SELECT p_partkey FROM part WHERE starts_with('' || p_partkey, '2')")
+def schema_entry_whitelist(spark: SparkSession, sf: str) -> DataFrame:
+    return M.whitelist_entries(_schema_entries(spark, sf), ["1.3.6.1.4.1.2*"]).select("p_partkey")
+
+
+@query("SELECT p_partkey, '( 2.5.' || p_partkey || ' NAME ''c'' SUP top STRUCTURAL )' AS class, '( 1 EQUALITY caseIgnoreMatch SUBSTR caseIgnoreSubstringsMatch )' AS attribute, 'invalid OID: x' || p_partkey || ';several superiors' AS faults FROM part")
+def schema_repair(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    cls, bad = F.concat(F.lit("( 2.5."), k, F.lit(" NAME 'c' STRUCTURAL )")), F.concat(F.lit("( x"), k, F.lit(" SUP ( a $ b ) )"))
+    return tree.table(spark, sf, "part").select("p_partkey", M.repair_class(cls).alias("class"), M.repair_attribute(F.lit("( 1 EQUALITY caseIgnoreSubstringMatch )")).alias("attribute"), F.array_join(M.schema_faults(bad), ";").alias("faults"))
+
+
+@query("SELECT c_custkey, 'mail' AS added, 'sn' AS removed, 'cn' AS modified, true AS classes, 4 AS total FROM customer")
+def entry_changes(spark: SparkSession, sf: str) -> DataFrame:
+    before = F.col("attrs")
+    after = A.remove_object_classes(A.remove_attributes(before, ["sn", "cn"]), ["top"])
+    after = F.concat(after, A.entry_attrs(A.attr("cn", F.lit("new")), A.attr("mail", F.lit("m"))))
+    s = tree.customers(spark, sf).select(F.col("record_no").alias("c_custkey"), M.entry_statistics(before, after).alias("s"))
+    return s.select("c_custkey", F.array_join("s.added", "|").alias("added"), F.array_join("s.removed", "|").alias("removed"), F.array_join(F.filter("s.modified", lambda n: n != "objectclass"), "|").alias("modified"), F.col("s.objectclasses_changed").alias("classes"), F.col("s.total_attribute_changes").alias("total"))
+
+
+@query("SELECT c_custkey, c_custkey % 2 = 0 AS differs, len(c_name) AS n, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS original FROM customer")
+def minimal_differences(spark: SparkSession, sf: str) -> DataFrame:
+    d = M.minimal_difference(F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_name")).otherwise(F.col("c_name")))
+    return tree.table(spark, sf, "customer").select("c_custkey", d.alias("d")).select("c_custkey", F.col("d.has_differences").alias("differs"), F.col("d.original_length").alias("n"), "d.original")
+
+
+@query("SELECT n_nationkey, count(*) FILTER (c_acctbal > 0) AS good, count(*) AS total, round(100.0 * count(*) FILTER (c_acctbal > 0) / count(*), 2) AS rate FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def merged_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    parts = tree.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(F.count_if(F.col("c_acctbal") > 0).alias("good"), F.count("*").alias("total"))
+    return M.merge_statistics(parts, "n_nationkey", ["good", "total"])
+
+
+@query("SELECT n_nationkey, 'Multiple structural objectClasses: domain, person;''CN'' not allowed by RFC 4519 domain' AS violations FROM nation")
+def structural_violations(spark: SparkSession, sf: str) -> DataFrame:
+    a = A.entry_attrs(A.attr("objectClass", F.lit("Person"), F.lit("domain"), F.lit("top")), A.attr("CN", F.col("n_name")))
+    return tree.table(spark, sf, "nation").select("n_nationkey", F.array_join(M.structural_violations(a), ";").alias("violations"))
+
+
+@query(_TREE + "SELECT dn, 'person' AS kind FROM c WHERE dn LIKE '%,ou=NATION_7,%' UNION ALL SELECT dn, 'group' FROM s WHERE dn LIKE '%,ou=NATION_7,%'")
+def pattern_filters(spark: SparkSession, sf: str) -> DataFrame:
+    d = M.by_dn(tree.directory(spark, sf), "cn=*,OU=nation_7,*")
+    people = M.by_attributes(M.persons(d), "cn", "sn").select("dn", F.lit("person").alias("kind"))
+    return people.union(M.by_attributes(M.groups(d), "member", "uniqueMember", every=False).select("dn", F.lit("group").alias("kind")))
+
+
+@query(_TREE + "SELECT unit AS dn, 'aci' AS attribute, pos, CASE pos WHEN 0 THEN 'one' ELSE 'two' END AS acl FROM n, (VALUES (0), (1)) v(pos) UNION ALL SELECT unit, 'ACL', 0, n_name FROM n")
+def acl_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    a = A.entry_attrs(A.attr("aci", F.lit("one"), F.lit("two")), A.attr("ACL", F.col("n_name")), A.attr("cn", F.lit("x")))
+    return M.acl_entries(tree.nations(spark, sf).select(F.col("unit").alias("dn"), a.alias("attrs")))
+
+
+@query(_TREE + "SELECT dn, CAST(len(string_split(dn, ',')) AS INTEGER) AS depth, false AS change, false AS schema, false AS acl FROM u")
+def entry_flags(spark: SparkSession, sf: str) -> DataFrame:
+    f = M.flags(F.col("dn"), F.col("attrs"), F.lit(None).cast("string"))
+    return tree.units(spark, sf).select("dn", f.alias("f")).select("dn", "f.depth", F.col("f.is_change_record").alias("change"), F.col("f.is_schema_entry").alias("schema"), F.col("f.is_acl_entry").alias("acl"))

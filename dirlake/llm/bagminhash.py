@@ -188,15 +188,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     holds several components, its candidates of different components are compared with each other, unless exact bounds rule a link
     out (see _able and _crossing). So the result is that of comparing all pairs of a bucket.
     """
-    rows = work_table(docs.select(F.col(doc_id).alias("doc"), describe(F.col(text)).alias("s")).select("doc", "s.*").withColumn("rep", F.xxhash64("one", "two")))
-    reps = work_table(rows.where("bands is not null").groupBy("rep").agg(F.min("doc").alias("doc"), F.first(F.struct("one", "two", "n_words", "bands")).alias("s")).select("rep", "doc", "s.*"))
+    rows = _numbered(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text")
+    placed = _placed(rows, "text", "doc")
+    out = rows.where("bands is not null").select(F.col("own.doc").alias("doc"), "rep").join(placed.select("rep", F.col("first.doc").alias("class_id")), "rep").select("doc", "class_id")
+    out = out.union(rows.where("bands is null").select(F.col("own.doc").alias("doc"), F.col("own.doc").alias("class_id")))
+    return out.select(F.col("doc").alias(doc_id), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def _numbered(docs: DataFrame, text: str) -> DataFrame:
+    """Work table (row, own, n_words, one, two, bands, rep): each row of `docs` as a struct, its key `row`, and what describes its text."""
+    return work_table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own"), describe(F.col(text)).alias("s")).select("row", "own", "s.*").withColumn("rep", F.xxhash64("one", "two")))
+
+
+def _placed(rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(rep, comp, first): the component of each word sequence in `rows`, and its first row, struct (none, doc, row): by id, null ids last, then by key."""
+    by = F.struct(F.col("own")[doc_id].isNull().alias("none"), F.col("own")[doc_id].alias("doc"), "row")
+    reps = work_table(rows.where("bands is not null").groupBy("rep").agg(F.min(by).alias("least"), F.first(F.struct("n_words", "bands")).alias("s")).select("rep", "least", "s.*"))
     band = reps.select("rep", "n_words", F.posexplode("bands").alias("band", "value"))
     full = work_table(band.join(band.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1"), ["band", "value"]))
     crowd = full.join(full.groupBy("rep").agg(F.sum("members").alias("crowd")), "rep")
     hubs = crowd.groupBy("band", "value").agg(F.max(F.struct("crowd", "rep", "n_words")).alias("hub"))
     near = full.join(hubs, ["band", "value"]).where((F.col("rep") != F.col("hub.rep")) & _close("n_words", "hub.n_words"))
     first = work_table(near.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    texts = _texts(docs, text, doc_id, full.select("rep").distinct().join(reps, "rep").select("rep", "doc", "one", "two"))
+    texts = _texts(rows, text, full.select("rep").distinct().join(reps, "rep").select("rep", "least.row"))
     links = work_table(verified(first, texts))
     found = components(links)
     members = _mixed(full.drop("members"), found)
@@ -213,11 +227,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rest = rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
     more = work_table(verified(rest, texts))
     final = found if more.isEmpty() else components(links.union(more))
-    placed = reps.select("rep", F.col("doc").alias("least")).join(final, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("comp"))
-    classes = placed.groupBy("comp").agg(F.min("least").alias("class_id"))
-    out = rows.where("bands is not null").select("doc", "rep").join(placed.join(classes, "comp").select("rep", "class_id"), "rep").select("doc", "class_id")
-    out = out.union(rows.where("bands is null").select("doc", F.col("doc").alias("class_id")))
-    return out.select(F.col("doc").alias(doc_id), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"))
+    placed = reps.select("rep", "least").join(final, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("comp"))
+    return placed.join(placed.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("rep", "comp", "first")
 
 
 def _bound(shared: str, others: str, total: str, all_others: str) -> Column:
@@ -300,22 +311,20 @@ def _able(members: DataFrame, texts: DataFrame) -> DataFrame:
     return work_table(members.join(total.join(shared, "rep"), "rep").where("5 * shared >= 4 * total"))
 
 
-def _texts(docs: DataFrame, text: str, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """(id, text), one row for each row (rep, doc, one, two) of `wanted`."""
-
-    @F.arrow_udf("struct<one: bigint, two: bigint>")
-    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            pairs = [sequence_hash(t, t.words()) for t in map(Texts.of, pieces(texts))]
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(p[k] for p in pairs)]).view(np.int64)) for k in (0, 1)], ["one", "two"])
-
-    both = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("string").alias("text")).join(wanted, F.col("d").eqNullSafe(F.col("doc")))
-    own = both.withColumn("h", hashed("text")).where("h.one = one and h.two = two").select(F.col("rep").alias("id"), "text")
-    return work_table(own.dropDuplicates(["id"]))
+def _texts(rows: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(id, text), one row for each row (rep, row) of `wanted`."""
+    return work_table(rows.select("row", F.col("own")[text].cast("string").alias("text")).join(wanted, "row").select(F.col("rep").alias("id"), "text"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each class: the first of its smallest id's rows. Documents without words all stay."""
+    """One row of `docs` for each id that is the smallest of its class, and all rows with a null id. The pipeline judges row by row instead: see keep_rows."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
+
+
+def keep_rows(docs: DataFrame) -> DataFrame:
+    """One row of `docs` for each class, whatever its rows' ids: the first by id, null ids last. Documents without words all stay."""
+    rows = _numbered(docs, "text")
+    first = _placed(rows, "text", "doc_id").select("first.row").distinct()
+    return rows.where("bands is not null").join(first, "row", "left_semi").select("own.*").union(rows.where("bands is null").select("own.*"))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from dirlake.llm import bagminhash, langid, lattice_lm, mixing, packing, quality_qda, quality_rules
 from dirlake.llm.textstats import Texts
 from tests.llm.conftest import prose
@@ -136,6 +137,16 @@ def test_near_duplicates_on_odd_rows(odd, nothing):
     assert rows(bagminhash.near_duplicates(nothing)) == []
 
 
+def test_stage_keeps_one_row_of_each_class_of_rows(spark, odd):
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, odd, SF).select("doc_id", "text").collect()]
+    assert got.count((30, prose(30))) == 1 and got.count((30, prose(31))) == 1  # one id, two classes
+    assert (3, prose(3)) in got and (None, prose(3)) not in got and (31, prose(30)) not in got
+    assert {i for i, t in got if not base(t)[0]} == {20, 21, 22, None}
+    shared = spark.createDataFrame([(3, prose(3)), (7, prose(3)), (7, prose(9)), (None, prose(12)), (None, prose(12))], "doc_id bigint, text string")
+    got = corpus_pipeline.near_duplicates(spark, shared, SF).collect()
+    assert sorted(r.text for r in got) == sorted([prose(3), prose(9), prose(12)]) and {r.doc_id for r in got} == {3, 7, None}
+
+
 def test_signatures_estimate_weighted_similarity():
     a = " ".join(["x y z u v w"] * 40)
     b = " ".join(["x y z u v w"] * 60)

@@ -52,8 +52,8 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int =
     return ranked.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def queue(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, passes: int = PASSES, seed: int = 1) -> DataFrame:
-    """One row for each row of `docs`: doc_id, source, key, size, source_size, target, start, finish, taken.
+def queue(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, passes: int = PASSES, seed: int = 1, row: str | None = None) -> DataFrame:
+    """One row for each row of `docs`: doc_id, source, key, size, source_size, target, start, finish, taken, and the column `row` of `docs` where one is named.
 
     The documents of a source queue in a shuffled order, `passes` times over. A document's virtual times are the
     source's words up to its start and its end, divided by the source's target; served by virtual finish time, all
@@ -61,13 +61,14 @@ def queue(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     the words served by then: whole documents, and a part of the one in service when the budget ends.
 
     A null or empty text has no words and none taken. A null source is a source of its own, the last one. Repeated rows queue one
-    by one; rows of one id stand in the order of their sizes. The order depends on nothing but ids and sizes, so reruns agree.
+    by one; rows of one id, and those with null ids, stand in the order of their sizes, then of a hash of their texts. Only rows of equal
+    id and text are told apart by their key `row`, so reruns agree.
     """
-    sized = work_table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), shuffle_key(F.col(doc_id), seed).alias("key"), size_of(F.col(text)).alias("size")))
+    sized = work_table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), shuffle_key(F.col(doc_id), seed).alias("key"), size_of(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_hash"), (F.monotonically_increasing_id() if row is None else F.col(row)).alias("_row")))
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, passes)
     # the queue's name: a null source and an empty one differ
     named = sized.withColumn("_queue", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))
-    placed = running_sums(named, "_queue", ["key", "size"], ["size"])
+    placed = running_sums(named, "_queue", ["key", "size", "_hash", "_row"], ["size"])
     at = placed.join(aims.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_queue")
     budget = F.floor("target")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("size_before") - p * F.col("source_size"))) for p in range(passes)), F.lit(0).cast("bigint"))
@@ -75,7 +76,7 @@ def queue(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     return at.select(
         "doc_id", "source", "key", "size", "source_size", "target",
         F.when(some, F.col("size_before") / F.col("target")).alias("start"), F.when(some, (F.col("size_before") + F.col("size")) / F.col("target")).alias("finish"),
-        taken.cast("bigint").alias("taken"),
+        taken.cast("bigint").alias("taken"), *([] if row is None else [F.col("_row").alias(row)]),
     )
 
 
@@ -87,12 +88,9 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
 def mixed_rows(docs: DataFrame, seed: int = 1) -> DataFrame:
     """Whole rows of `docs`, each as often as the mix takes it; a part counts as a whole from one half on.
 
-    Instead of joining the texts to the queue, each source's last place in its last pass is looked up: as many rows as sources.
+    Each row is joined by its key to its own place in the queue, so that rows of one id, and those with null ids, are cut one by one.
     """
-    places = queue(docs, seed=seed)
-    copies = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
-    steps = places.where("size > 0").groupBy("source", copies.alias("n")).agg(F.max("key").alias("last"))
-    cuts = steps.groupBy("source").agg(F.min("n").alias("_least"), F.max(F.struct("n", "last")).alias("_top"))
-    joined = docs.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    n = F.when((F.col("_top.n") > F.col("_least")) & (shuffle_key(F.col("doc_id"), seed) <= F.col("_top.last")), F.col("_top.n")).otherwise(F.col("_least"))
-    return joined.where(size_of(F.col("text")) > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    rows = work_table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own")))
+    places = queue(rows, "own.text", "own.source", "own.doc_id", seed=seed, row="row").where("size > 0")
+    copies = places.select("row", F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int").alias("n")).where("n > 0")
+    return rows.join(copies, "row").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("own.*")

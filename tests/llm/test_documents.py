@@ -181,6 +181,20 @@ def test_mix_shares_and_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and kept.where("text is null").count() == 0
 
 
+def test_mixed_rows_are_those_of_the_queue(spark, odd):
+    # 40 rows without ids and 40 of one id in a source that is cut, next to sources that raise the total
+    made = [(None if i % 2 else 5, " ".join(f"t{i}w{k}" for k in range(20 + i % 3)), "c") for i in range(80)]
+    made += [(100 + i, prose(i), s) for i in range(20) for s in "ab"]
+    taken, aim = (mixing.queue(spark.createDataFrame(made, "doc_id bigint, text string, source string")).where("source = 'c'").selectExpr("sum(taken)", "max(target)").first())
+    got = mixing.mixed_rows(spark.createDataFrame(made, "doc_id bigint, text string, source string")).where("source = 'c'").collect()
+    assert abs(sum(len(r.text.split()) for r in got) - aim) <= 22 and abs(taken - aim) <= 1 and aim < 0.7 * sum(len(t.split()) for _, t, s in made if s == "c")
+    for docs in (spark.createDataFrame(made, "doc_id bigint, text string, source string"), odd):
+        want = Counter()
+        for r in mixing.queue(docs.withColumn("t", docs.text), row="t").where("size > 0").collect():
+            want[r.doc_id, r.source, r.t] += int((r.taken + r.size / 2) // r.size)
+        assert Counter((r.doc_id, r.source, r.text) for r in mixing.mixed_rows(docs).collect()) == +want
+
+
 def test_packing_constraints(odd, nothing):
     got = rows(packing.pack(odd, capacity=128, block=8))
     words, bins = Counter(), {}

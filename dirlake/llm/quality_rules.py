@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlake.llm.common import pieces
+from dirlake.llm.common import pieces, work_table
 from dirlake.llm.textstats import CLASSES, Texts, class_counts, repeated_lines, repeated_words, symbol_counts, word_chars
 
 #: Common words whose shares make up the word histogram; one more bin holds all other words.
@@ -21,6 +21,8 @@ COMMON = {
 }
 WORDS = sorted({w for words in COMMON.values() for w in words.split()})
 N_CHAR, N_WORD = len(CLASSES), len(WORDS) + 1
+#: Languages whose references are held and scored at once.
+BLOCK = 500
 
 _BASE_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _STATS = ", ".join(f"{f}: bigint" for f in _BASE_FIELDS) + ", chars: array<int>, common: array<int>"
@@ -61,15 +63,28 @@ def text_stats(text: Column) -> Column:
     return stats(text.cast("string"))
 
 
-def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = 200) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Both histograms summed over all documents of each language: one row for each language reaches the driver.
-
-    Rows without a language are in no reference. Beyond `most_languages` (a bound on what the driver holds), the languages with fewest words have none.
-    """
+def language_histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Work table (lang, n, c0, c1, ..., w0, w1, ...): both histograms summed over all documents of each language that has words. Rows without a language are in none."""
     stats = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_stats(F.col(text)).alias("s"))
     sums = [F.sum(F.col("s.chars")[i]).alias(f"c{i}") for i in range(N_CHAR)] + [F.sum(F.col("s.common")[i]).alias(f"w{i}") for i in range(N_WORD)]
-    rows = stats.groupBy("lang").agg(F.sum("s.n_words").alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    return {r["lang"]: (np.array([r[f"c{i}"] for i in range(N_CHAR)], float), np.array([r[f"w{i}"] for i in range(N_WORD)], float)) for r in rows if r["n"]}
+    return work_table(stats.groupBy("lang").agg(F.sum("s.n_words").alias("n"), *sums).where("n > 0"))
+
+
+def blocks(histograms: DataFrame, most: int = BLOCK) -> Iterator[dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The languages of `histograms` in the order of their names, `most` at a time; the driver holds one block."""
+    rest = histograms
+    while True:
+        rows = rest.orderBy("lang").limit(most).collect()
+        if rows:
+            yield {r["lang"]: (np.array([r[f"c{i}"] for i in range(N_CHAR)], float), np.array([r[f"w{i}"] for i in range(N_WORD)], float)) for r in rows}
+        if len(rows) < most:
+            return
+        rest = histograms.where(F.col("lang") > rows[-1]["lang"])
+
+
+def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The references of all languages at once, for few of them; `judge` takes them by blocks."""
+    return {k: v for block in blocks(language_histograms(docs, text, lang)) for k, v in block.items()}
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -98,15 +113,35 @@ def divergence(stats: Column, refs: dict[str, tuple[np.ndarray, np.ndarray]]) ->
             if not names:
                 yield pa.array([None] * len(s), pa.struct([("ref", pa.string()), ("char_jsd", pa.float64()), ("word_jsd", pa.float64())]))
                 continue
-            both = np.array([[jensen_shannon(chars, refs[k][0]), jensen_shannon(common, refs[k][1])] for k in names])
-            best = both.sum(1).argmin(0)
-            at = np.arange(len(s))
-            yield pa.StructArray.from_arrays([pa.array([names[b] for b in best], pa.string()), pa.array(both[best, 0, at]), pa.array(both[best, 1, at])], ["ref", "char_jsd", "word_jsd"])
+            best, least = np.zeros(len(s), np.int64), np.full((2, len(s)), np.inf)
+            for i, k in enumerate(names):
+                own = np.array([jensen_shannon(chars, refs[k][0]), jensen_shannon(common, refs[k][1])])
+                less = own.sum(0) < least.sum(0)
+                best[less], least[:, less] = i, own[:, less]
+            yield pa.StructArray.from_arrays([pa.array([names[b] for b in best], pa.string()), pa.array(least[0]), pa.array(least[1])], ["ref", "char_jsd", "word_jsd"])
 
     return score(stats)
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: float = 0.21, max_word: float = 0.27, far_char: float = 0.35, min_chars: int = 250, min_words: int = 40, refs: dict | None = None) -> DataFrame:
+def _scored(docs: DataFrame, text: str, histograms: DataFrame, most: int) -> DataFrame:
+    """`docs` with `_s`, its counts, and `_d`, its divergence. Beyond one block of languages each block passes once over a narrow work table and keeps the nearer reference."""
+    parts = blocks(histograms, most)
+    first, more = next(parts, {}), next(parts, None)
+    if more is None:
+        out = docs.withColumn("_s", text_stats(F.col(text)))
+        return out.withColumn("_d", divergence(F.col("_s"), first))
+    rows = work_table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own"), text_stats(F.col(text)).alias("_s")))
+    near = work_table(rows.select("row", "_s", divergence(F.col("_s"), first).alias("_d")))
+    while more is not None:
+        both = near.withColumn("_e", divergence(F.col("_s"), more))
+        # blocks come by name, so that a tie stays with the first name
+        less = F.col("_e.char_jsd") + F.col("_e.word_jsd") < F.col("_d.char_jsd") + F.col("_d.word_jsd")
+        near = work_table(both.select("row", "_s", F.when(less, F.col("_e")).otherwise(F.col("_d")).alias("_d")))
+        more = next(parts, None)
+    return rows.select("row", "own").join(near, "row").select("own.*", "_s", "_d")
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: float = 0.21, max_word: float = 0.27, far_char: float = 0.35, min_chars: int = 250, min_words: int = 40, refs: dict | None = None, most: int = BLOCK) -> DataFrame:
     """All rows and columns of `docs` and a struct `_q`: the base counts, `base_failed`, the distances, `kept`.
 
     A document goes if it fails the base rules (under 10 words, or over 20 % of its words in repeated five-word
@@ -114,11 +149,13 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: flo
     its common-word distance above `max_word`, or its character-class distance alone is above `far_char`. The
     first needs `min_words` words, both need `min_chars` characters in words, since histograms of shorter texts
     say little. Null and empty texts have no words and fail; without any reference only the base rules
-    count. Repeated rows are judged one by one, alike.
+    count. Repeated rows are judged one by one, alike. Every language has a reference; `most` of them are scored at once.
     """
-    refs = fit_references(docs, text, lang) if refs is None else refs
-    out = docs.withColumn("_s", text_stats(F.col(text)))
-    out = out.withColumn("_d", divergence(F.col("_s"), refs))
+    if refs is None:
+        out = _scored(docs, text, language_histograms(docs, text, lang), most)
+    else:
+        out = docs.withColumn("_s", text_stats(F.col(text)))
+        out = out.withColumn("_d", divergence(F.col("_s"), refs))
     s, char, word = F.col("_s"), F.coalesce(F.col("_d.char_jsd"), F.lit(0.0)), F.coalesce(F.col("_d.word_jsd"), F.lit(0.0))
     failed = (s.n_words < 10) | (100 * s.n_repeat_words > 20 * s.n_words)
     far = (s.word_chars >= min_chars) & (((s.n_words >= min_words) & (char > max_char) & (word > max_word)) | (char > far_char))

@@ -50,6 +50,17 @@ def test_rules_without_rows_or_references(odd, nothing):
     assert quality_rules.fit_references(nothing) == {}
 
 
+def test_rules_keep_a_reference_for_every_language(spark):
+    rare = " ".join(["λόγος", "ἀρχή", "θεός"][i % 3] + f"ω{i}" for i in range(45))
+    made = [(i, prose(i, 80), f"l{i:03d}") for i in range(203)] + [(999, rare, "zz")]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge(df).select("doc_id", "_q.*").collect()}
+    assert got[999].ref == "zz" and got[999].char_jsd == got[999].word_jsd == 0 and got[999].kept
+    assert len(got) == 204 and all(math.isclose(got[i].char_jsd + got[i].word_jsd, 0, abs_tol=1e-9) for i in range(203))
+    by_blocks = {r.doc_id: r for r in quality_rules.judge(df, most=70).select("doc_id", "_q.*").collect()}
+    assert by_blocks == got
+
+
 def test_jensen_shannon():
     p = np.array([[1.0, 0], [1, 1], [0, 0]])
     d = quality_rules.jensen_shannon(p, np.array([1.0, 0]))

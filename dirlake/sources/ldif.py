@@ -1,22 +1,26 @@
 """LDIF as a source and a sink.
 
-Files are split at blank lines by Spark's own text reader, so that one file of any size is read by many tasks; all else, from
-unfolding to change records, is column expressions.
+Files are split at blank lines by Spark's own text reader, so that one file of any size is read by many tasks. Each record is cut into
+its entry once, by a function over whole Arrow columns; all that follows is column expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dirlake.functions import records as R
 from dirlake.functions import text as T
-from dirlake.functions.dn import COMPONENT, split_dn, strip
-from dirlake.model import ATTRS, CONTROLS, OPS, VALUE
+from dirlake.functions.dn import strip
+from dirlake.model import ATTRS, CONTROLS, OPS
 
-#: Fixed values.
-CHANGES = ("add", "delete", "modify", "moddn", "modrdn")
-VERBS = ("add", "delete", "replace", "increment")
+#: Fixed value: the first line of a file with a version.
+VERSION = "version: 1"
+_WRITTEN = {"dn": "string", "changetype": "string", "attrs": ATTRS, "newrdn": "string", "newsuperior": "string", "deleteoldrdn": "boolean", "controls": CONTROLS, "change_ops": OPS}
 
 
 def records(text: Column) -> Column:
@@ -26,87 +30,19 @@ def records(text: Column) -> Column:
     return F.filter(plain, lambda b: strip(b) != "")
 
 
-def _item(line: Column) -> Column:
-    """name, value, origin, raw of one `name: value` line."""
-    rest = F.ltrim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
-    mark = F.substring(rest, 1, 1)
-    payload = strip(F.substring(rest, F.lit(2), F.length(rest)))
-    file = F.lower(payload).startswith("file://")
-    value = F.when(mark == ":", strip(T.from_base64(payload))).when(mark == "<", payload).otherwise(strip(rest))
-    origin = F.when(mark == ":", "base64").when((mark == "<") & file, "file").when(mark == "<", "url").otherwise("plain")
-    return F.struct(strip(F.substring_index(line, ":", 1)).alias("name"), value.alias("value"), origin.alias("origin"), F.when(mark.isin(":", "<"), payload).alias("raw"))
-
-
-def _lines(record: Column) -> Column:
-    return F.transform(F.split(record, "\n"), lambda x: F.regexp_replace(x, r"\r$", ""))
-
-
-def _items(lines: Column) -> Column:
-    return F.transform(F.filter(lines, lambda x: x.contains(":") & ~x.startswith("#")), _item)
-
-
-def _value(item: Column) -> Column:
-    return F.struct(item["value"].alias("value"), item["origin"].alias("origin"), item["raw"].alias("raw")).cast(VALUE)
-
-
-def _grouped(items: Column) -> Column:
-    """Attributes in written order, values of one spelling together."""
-    keys = F.array_distinct(F.transform(items, lambda i: i["name"]))
-    return F.transform(keys, lambda k: F.struct(k.alias("name"), F.transform(F.filter(items, lambda i: i["name"] == k), _value).alias("values")))
-
-
-def _last(items: Column, name: str) -> Column:
-    found = F.filter(items, lambda i: F.lower(i["name"]) == name)
-    return F.when(F.size(found) > 0, F.element_at(found, -1)["value"])
-
-
-def _control(item: Column) -> Column:
-    """`oid [criticality] [: value | :: base64 | :< url]`."""
-    head = strip(F.substring_index(item["value"], ":", 1))
-    tail = F.regexp_extract(item["value"], r"^[^:]*(:.*)$", 1)
-    got = _item(tail)
-    some = tail != ""
-    return F.struct(
-        F.substring_index(head, " ", 1).alias("control_type"), F.when(head.contains(" "), F.lower(F.substring_index(head, " ", -1)) == "true").alias("criticality"),
-        F.when(some, got["value"]).alias("value"), F.when(some, got["origin"]).alias("value_origin"), F.when(some, got["raw"]).alias("raw_value"),
-    ).cast(CONTROLS[6:-1])
-
-
-def _ops(record: Column) -> Column:
-    """The change operations of a modify record: its parts between lines of a single dash."""
-    body = F.regexp_extract(record, r"(?is)(?:^|\n)changetype:\s*modify\s*?\n(.*)$", 1)
-    parts = F.transform(F.split(body, r"(?m)^-\s*?$"), lambda p: _items(_lines(p)))
-    led = F.filter(parts, lambda p: (F.size(p) > 0) & F.lower(F.get(p, F.lit(0))["name"]).isin(*VERBS))
-    return F.transform(led, lambda p: F.struct(F.lower(p[0]["name"]).alias("op"), p[0]["value"].alias("attr"), F.transform(F.filter(F.slice(p, F.lit(2), F.size(p)), lambda i: F.lower(i["name"]) == F.lower(p[0]["value"])), _value).alias("values"))).cast(OPS)
-
-
 def parse(df: DataFrame, record: str = "record") -> DataFrame:
     """`df` with the columns of an entry parsed from one unfolded record each, instead of `record`.
 
     A later `dn:` line takes the place of an earlier one. A name missing or with a component that is not `type=value` sets
     `error` and leaves the rest as read: bad records are rows, not losses. Inside modify records, values are attributes as well
-    as parts of their operations. An unknown change type leaves a content record. A null record is an empty one.
+    as parts of the operation that stands open, whatever name they bear. An unknown change type leaves a content record. A null record is an empty one.
+
+    Values are trimmed, those of change operations that were encoded are not; encoded and linked ones keep their payload in `raw`, with which they are written again.
     """
-    r = F.coalesce(F.col(record), F.lit(""))
-    base = df.withColumn("_lines", _lines(r)).withColumn("_items", _items(F.col("_lines")))
-    items = F.col("_items")
-    kind = F.lower(strip(_last(items, "changetype")))
-    known = F.when(kind.isin(*CHANGES), kind)
-    dn = _last(items, "dn")
-    control = ("dn", "changetype", "control", "newrdn", "deleteoldrdn", "newsuperior")
-    read = F.filter(items, lambda i: ~F.lower(i["name"]).isin(*control))
-    content = F.when(F.col("changetype") == "modify", F.filter(read, lambda i: ~F.lower(i["name"]).isin(*VERBS))).otherwise(read)
-    out = base.withColumn("dn", dn).withColumn("changetype", known)
-    out = out.withColumn("record_kind", F.when(F.col("changetype").isNull(), "content").otherwise("change"))
-    out = out.withColumn("attrs", _grouped(content).cast(ATTRS))
-    out = out.withColumn("newrdn", _last(items, "newrdn")).withColumn("newsuperior", _last(items, "newsuperior"))
-    out = out.withColumn("deleteoldrdn", F.lower(strip(_last(items, "deleteoldrdn"))).isin("1", "true", "yes"))
-    out = out.withColumn("controls", F.transform(F.filter(items, lambda i: F.lower(i["name"]) == "control"), _control))
-    out = out.withColumn("change_ops", F.when(F.col("changetype") == "modify", _ops(r)).otherwise(F.array().cast(OPS)))
-    out = out.withColumn("comments", F.transform(F.filter(F.col("_lines"), lambda x: x.startswith("#")), lambda x: strip(F.substring(x, F.lit(2), F.length(x)))))
-    bad = F.exists(split_dn(F.col("dn")), lambda p: ~p.rlike(COMPONENT))
-    out = out.withColumn("error", F.when(F.coalesce(F.col("dn"), F.lit("")) == "", "no dn").when(bad, F.concat(F.lit("invalid dn: "), F.col("dn"))))
-    return out.drop("_lines", "_items", record)
+    others = [c for c in df.columns if c != record]
+    name = max(["entry", *others], key=len) + "_"
+    cut = df.select(*(F.col(f"`{c}`") for c in others), R.cut(F.coalesce(F.col(record), F.lit(""))).alias(name))
+    return cut.select(*(F.col(f"`{c}`") for c in others), f"`{name}`.*")
 
 
 def parse_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -114,78 +50,95 @@ def parse_text(df: DataFrame, text: str = "text") -> DataFrame:
     return parse(df.select(*(c for c in df.columns if c != text), F.posexplode(records(F.coalesce(F.col(text), F.lit("")))).alias("record_no", "record")))
 
 
-def read_ldif(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", crlf: bool = False) -> DataFrame:
+def _crlf_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files that have carriage returns at line ends of their first split."""
+    lines = spark.read.text(paths, lineSep="\n").where((F.col("_metadata.file_block_start") == 0) & F.col("value").endswith("\r"))
+    return [r.file for r in lines.select(F.col("_metadata.file_path").alias("file")).distinct().collect()]
+
+
+def read_ldif(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", crlf: bool | None = None, number: bool = False) -> DataFrame:
     """The entries of all files of a path or glob, with `source` and `record_no`, which orders the records of one reading.
 
-    `crlf` tells files that end all lines with a carriage return and a line feed, which then split at those.
+    Files split at their blank lines, whichever line end they use: `crlf` tells it for all files; where None, a pass over the lines tells it for each.
+    `number` makes `record_no` count from 0 within each file, for one more pass over the files. A path without files raises FileNotFoundError.
     """
-    blocks = spark.read.option("encoding", encoding).text(path, lineSep="\r\n\r\n" if crlf else "\n\n")
-    return _entries(blocks.select(F.col("_metadata.file_path").alias("source"), "value"))
+    try:
+        paths = [path] if isinstance(path, str) else list(path)
+        kinds = {crlf: paths}
+        if crlf is None:
+            ended = _crlf_files(spark, paths)
+            kinds = {False: paths} if not ended else {True: ended, False: paths}
+        parts = []
+        for kind, own in kinds.items():
+            text = spark.read.option("encoding", encoding).text(own, lineSep="\r\n\r\n" if kind else "\n\n")
+            text = text.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), "value")
+            if len(kinds) == 2 and not kind:
+                text = text.where(~F.col("source").isin(ended))
+            parts.append(text)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(str(path)) from e
+        raise
+    blocks = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    each = blocks.select("source", "start", F.explode(records(F.col("value"))).alias("record")).withColumn("record_no", F.monotonically_increasing_id())
+    return parse((_numbered(each) if number else each).drop("start"))
+
+
+def _numbered(each: DataFrame) -> DataFrame:
+    """`record_no` from 0 within each source: its splits are counted, and each record's place in its split is added to what earlier splits hold."""
+    splits = each.groupBy("source", "start").agg(F.min("record_no").alias("first"), F.count("*").alias("n"))
+    # a source has one row for each split here
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select(F.col("source").alias("s"), F.col("start").alias("b"), "first", earlier.alias("earlier"))
+    joined = each.join(placed, (F.col("source") == F.col("s")) & (F.col("start") == F.col("b")))
+    return joined.withColumn("record_no", F.col("record_no") - F.col("first") + F.col("earlier")).drop("s", "b", "first", "earlier")
 
 
 def read_ldif_stream(spark: SparkSession, path: str, crlf: bool = False) -> DataFrame:
-    """New files of a directory as a stream of entries."""
+    """New files of a directory as a stream of entries. A file whose line ends are not as `crlf` says is read all the same, but by one task."""
     blocks = spark.readStream.text(path, lineSep="\r\n\r\n" if crlf else "\n\n")
     return parse(blocks.select(F.explode(records(F.col("value"))).alias("record")))
 
 
-def _entries(blocks: DataFrame) -> DataFrame:
-    return parse(blocks.select("source", F.explode(records(F.col("value"))).alias("record")).withColumn("record_no", F.monotonically_increasing_id()))
-
-
-def _line(name: Column, value: Column, width: int) -> Column:
-    """One written attribute line."""
-    v = value["value"]
-    encoded = T.needs_base64(v) | T.is_binary(name) | (value["origin"] == "base64")
-    plain = F.when(value["origin"].isin("url", "file"), F.concat(name, F.lit(":< "), v)).when(encoded, F.concat(name, F.lit(":: "), T.to_base64(v))).when(v == "", F.concat(name, F.lit(":"))).otherwise(F.concat(name, F.lit(": "), v))
-    return plain
+def written(df: DataFrame, width: int = T.WIDTH, column: str = "ldif", comments: bool = False) -> DataFrame:
+    """`df` with each entry's LDIF record, without a blank line at its end, in `column`.
 
+    Lines over `width` bytes are folded, access rules never. Encoded and linked values are written with the payload they were read with; other values
+    that are not safe text are base64. `comments` writes an entry's comments before its name.
+    """
+    have = set(df.columns)
+    pick = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
+    fields = [pick(c, kind).alias(c) for c, kind in _WRITTEN.items()]
+    fields.append((F.col("comments") if comments else F.lit(None).cast("array<string>")).alias("comments"))
+    return df.withColumn(column, R.text_of(F.struct(*fields), width))
 
-def _attr_lines(attrs: Column, width: int) -> Column:
-    return F.flatten(F.transform(attrs, lambda a: F.transform(a["values"], lambda v: _line(a["name"], v, width))))
 
+def _with_version(texts: DataFrame) -> DataFrame:
+    """The version line before the first row of each partition, which becomes a file."""
 
-def _dn_line(name: str, dn: Column) -> Column:
-    return F.when(T.needs_base64(dn), F.concat(F.lit(name + ":: "), T.to_base64(dn))).otherwise(F.concat(F.lit(name + ": "), dn))
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.record_batch([pa.array([VERSION])], names=batch.schema.names)
+                first = False
+            yield batch
 
+    return texts.mapInArrow(headed, texts.schema)
 
-def written(df: DataFrame, width: int = T.WIDTH, column: str = "ldif") -> DataFrame:
-    """`df` with each entry's LDIF record, without a blank line at its end, in `column`.
 
-    Lines over `width` bytes are folded, access rules never. Values that are not safe text are base64; URLs stay URLs.
-    """
-    have = set(df.columns)
-    pick = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
-    change, ops, controls = pick("changetype", "string"), pick("change_ops", OPS), pick("controls", CONTROLS)
-    none = F.array().cast("array<string>")
-    control = lambda c: F.concat(F.lit("control: "), c["control_type"], F.coalesce(F.concat(F.lit(" "), c["criticality"].cast("string")), F.lit("")), F.coalesce(F.when(c["value_origin"] == "base64", F.concat(F.lit(":: "), c["raw_value"])).when(c["value"].isNotNull(), F.concat(F.lit(": "), c["value"])), F.lit("")))
-    op = lambda o: F.concat(F.array(F.concat(o["op"], F.lit(": "), o["attr"])), F.transform(o["values"], lambda v: _line(o["attr"], v, width)), F.array(F.lit("-")))
-    renamed = F.concat(
-        F.when(pick("newrdn", "string").isNotNull(), F.array(_dn_line("newrdn", pick("newrdn", "string")))).otherwise(none), F.array(F.concat(F.lit("deleteoldrdn: "), pick("deleteoldrdn", "boolean").cast("int").cast("string"))),
-        F.when(pick("newsuperior", "string").isNotNull(), F.array(_dn_line("newsuperior", pick("newsuperior", "string")))).otherwise(none),
-    )
-    body = F.when(change == "modify", F.flatten(F.transform(ops, op))).when(change == "delete", none).when(change.isin("modrdn", "moddn"), renamed).otherwise(_attr_lines(F.col("attrs"), width))
-    lines = F.concat(F.array(_dn_line("dn", F.col("dn"))), F.coalesce(F.transform(controls, control), none), F.when(change.isNotNull(), F.array(F.concat(F.lit("changetype: "), change))).otherwise(none), F.coalesce(body, none))
-    flat = df.withColumn("_lines", lines)
-    # only records with a long line go through the folding function
-    long = F.exists(F.col("_lines"), lambda x: F.octet_length(x) > width)
-    joined = flat.withColumn("_text", F.array_join("_lines", "\n"))
-    return joined.withColumn(column, F.when(long, _folded(F.col("_text"), width)).otherwise(F.col("_text"))).drop("_lines", "_text")
-
-
-def _folded(text: Column, width: int) -> Column:
-    @F.arrow_udf("string")
-    def fold(texts: pa.Array) -> pa.Array:
-        keep = tuple(n + ":" for n in T.UNFOLDED)
-        one = lambda x: x if x.lower().startswith(keep) else T.fold_text(x, width)
-        return pa.array([None if t is None else "\n".join(map(one, t.split("\n"))) for t in texts.to_pylist()], pa.string())
-
-    return fold(text)
-
-
-def write_ldif(df: DataFrame, path: str, width: int = T.WIDTH, mode: str = "errorifexists", order: str | None = None) -> None:
-    """Write entries as LDIF files; Spark's commit makes each run all or nothing. `order` sorts over all files by a column's range."""
-    out = written(df, width)
+def write_ldif(df: DataFrame, path: str, width: int = T.WIDTH, mode: str = "errorifexists", order: str | None = None, version: bool = False, comments: bool = False) -> None:
+    """Write entries as LDIF files; Spark's commit makes each run all or nothing. `order` sorts over all files by a column's range; `version` opens each file with the version line."""
+    out = written(df, width, comments=comments)
     if order:
         out = out.orderBy(order)
-    out.select("ldif").write.mode(mode).option("lineSep", "\n\n").text(path)
+    out = out.select("ldif")
+    (_with_version(out) if version else out).write.mode(mode).option("lineSep", "\n\n").text(path)
+
+
+def write_statistics(df: DataFrame, width: int = T.WIDTH) -> DataFrame:
+    """One row (entries, lines, bytes, folded): what a written text has, lines that were folded counted once each."""
+    text = written(df, width).select("ldif")
+    lines = F.size(F.split("ldif", "\n"))
+    bent = F.size(F.split("ldif", "\n ")) - 1
+    return text.agg(F.count("*").alias("entries"), F.coalesce(F.sum(lines), F.lit(0)).alias("lines"), F.coalesce(F.sum(F.octet_length("ldif") + 2), F.lit(0)).alias("bytes"), F.coalesce(F.sum((bent > 0).cast("bigint")), F.lit(0)).alias("folded"))

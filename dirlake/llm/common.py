@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,31 +18,61 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, a temporary one on a local master; on a cluster that is an error."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     own = spark.conf.get("dirlake.work.dir", None)
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="dirlake-")
         spark.conf.set("dirlake.work.dir", own)
         spark.sparkContext.setCheckpointDir(own)
     return own
 
 
-def work_table(df: DataFrame) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Work tables written inside go at the end, but for those that are kept: what leaves the block is one of these."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        spark = SparkSession.getActiveSession()
+        for path in paths:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def work_table(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: a lineage cut that outlives executors.
 
-    The files go when the driver's JVM ends.
+    The files go at the end of the surrounding `scratch` block (with `keep`, of the one around that), or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """The named columns of `df` (all where None) as one struct, so that no column of an operator's own can clash with them."""
+    names = df.columns if columns is None else columns
+    return F.struct(*(F.col(f"`{c}`") for c in names)) if names else F.struct(F.lit(None).cast("boolean").alias("none"))
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's text, modulo `mod`; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
@@ -76,6 +107,20 @@ def pieces(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[pa.Array]:
         lo = hi
 
 
+def skew_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], n: str, most: int = 4096) -> DataFrame:
+    """The inner join of `rows` with `side` on `keys`, where a few keys may hold most rows.
+
+    `side` is a stored table with one row for each key and tells in `n` how many of `rows` have it. Keys with more than 1 / `most` of
+    all those rows are fewer than `most`, so their rows of `side` go to every task and `rows` stay where they are; all others are joined by a shuffle.
+    `rows` is read twice and should be stored too.
+    """
+    total = side.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    bound = F.col(n) > total / most
+    hot = F.broadcast(side.where(bound))
+    rest = rows.join(F.broadcast(side.where(bound).select(*keys)), list(keys), "left_anti")
+    return rows.join(hot, list(keys)).unionByName(rest.join(side.where(~bound), list(keys)))
+
+
 def running_sums(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str], parts: int | None = None) -> DataFrame:
     """`df` with `<value>_before` columns: sums of `values` over the rows of the same key that stand earlier in `order`.
 

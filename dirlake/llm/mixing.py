@@ -1,4 +1,8 @@
-"""Mixing sources to target weights by weighted fair queueing."""
+"""Mixing sources to target weights by weighted fair queueing.
+
+The shuffled documents of a source queue in packets of a bounded number of words, pass after pass. A packet's virtual finish time is
+the source's words up to its end divided by the source's target; all packets are range-sorted by that time and cut at the total budget.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlake.llm.common import pieces, running_sums, utf8, work_table
+from dirlake.llm.common import packed, pieces, running_sums, utf8, work_table
 from dirlake.llm.textstats import count_words
 
-#: Weights of the sources in the order of their names, and the most passes over a source.
-WEIGHTS, PASSES = (5, 2, 1), 3
+#: Weights of the sources in the order of their names, the most passes over a source, and the words of a packet.
+WEIGHTS, PASSES, QUANTUM = (5, 2, 1), 3, 1024
+#: Virtual times that may bound the queue.
+_HORIZONS = (1.0001, 1.001, 1.01, 1.05, 1.2, 1.5, 2.0, 4.0, 16.0, 256.0, 65536.0)
 
 
 def size_of(text: Column) -> Column:
@@ -52,45 +58,69 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, passes: int =
     return ranked.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def queue(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, passes: int = PASSES, seed: int = 1, row: str | None = None) -> DataFrame:
-    """One row for each row of `docs`: doc_id, source, key, size, source_size, target, start, finish, taken, and the column `row` of `docs` where one is named.
+def horizon(aims: DataFrame, passes: int, quantum: int) -> float:
+    """A virtual time by which the packets that have finished fill the budget for certain; infinite where none of the tried times proves it."""
+    size, target = F.col("source_size").cast("double"), F.col("target")
+    # packets that end by v hold all of a source's passes or all but one packet of its target times v
+    surplus = [F.sum(F.least(passes * size, F.greatest(F.lit(0.0), target * v - quantum)) - target) for v in _HORIZONS]
+    got = aims.where(target > 0).agg(*surplus).first()
+    return next((v for v, s in zip(_HORIZONS, got, strict=True) if s is not None and s >= 1), float("inf"))
+
 
-    The documents of a source queue in a shuffled order, `passes` times over. A document's virtual times are the
-    source's words up to its start and its end, divided by the source's target; served by virtual finish time, all
-    sources reach their targets, and the mix its total budget, at the virtual time 1. `taken` are
-    the words served by then: whole documents, and a part of the one in service when the budget ends.
+def packets(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, passes: int = PASSES, quantum: int = QUANTUM, seed: int = 1, tag: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(sized, served): work tables of the rows of `docs` and of the passes that the mix takes of them.
 
-    A null or empty text has no words and none taken. A null source is a source of its own, the last one. Repeated rows queue one
-    by one; rows of one id, and those with null ids, stand in the order of their sizes, then of a hash of their texts. Only rows of equal
-    id and text are told apart by their key `row`, so reruns agree.
+    `sized` has (row, doc_id, source, key, hash, size, source_size, target, size_before) and the columns `tag` of `docs`; `served`
+    has (row, pass, taken, finish), taken > 0: what the budget's cut of the queue leaves of a document's words in a pass, and when its last packet is served.
     """
-    sized = work_table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), shuffle_key(F.col(doc_id), seed).alias("key"), size_of(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("_hash"), (F.monotonically_increasing_id() if row is None else F.col(row)).alias("_row")))
-    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, passes)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), shuffle_key(F.col(doc_id), seed).alias("key"), F.xxhash64(F.col(text)).alias("hash"), size_of(F.col(text)).alias("size"), *tag)
+    sized = work_table(rows.withColumn("row", F.monotonically_increasing_id()))
+    aims = work_table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, passes))
     # the queue's name: a null source and an empty one differ
-    named = sized.withColumn("_queue", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))
-    placed = running_sums(named, "_queue", ["key", "size", "_hash", "_row"], ["size"])
-    at = placed.join(aims.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_queue")
-    budget = F.floor("target")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("size_before") - p * F.col("source_size"))) for p in range(passes)), F.lit(0).cast("bigint"))
-    some = F.col("target") > 0
-    return at.select(
-        "doc_id", "source", "key", "size", "source_size", "target",
-        F.when(some, F.col("size_before") / F.col("target")).alias("start"), F.when(some, (F.col("size_before") + F.col("size")) / F.col("target")).alias("finish"),
-        taken.cast("bigint").alias("taken"), *([] if row is None else [F.col("_row").alias(row)]),
-    )
+    named = sized.withColumn("queue", F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))))
+    placed = running_sums(named, "queue", ["key", "size", "hash", "row"], ["size"])
+    sized = work_table(placed.join(aims.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "queue"))
+    reach = horizon(aims, passes, quantum)
+    each = sized.where("size > 0 and target > 0").select("row", "key", "size", "target", "size_before", "source_size", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    begun = each.withColumn("base", F.col("size_before") + F.col("pass") * F.col("source_size")).where(F.col("base") / F.col("target") <= reach)
+    cut = begun.select("row", "key", "pass", "size", "target", "base", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / quantum))).alias("k"))
+    end = F.least(F.col("size"), (F.col("k") + 1) * quantum)
+    queue = cut.select("row", "pass", "key", (end - F.col("k") * quantum).alias("words"), ((F.col("base") + end) / F.col("target")).alias("finish")).where(F.col("finish") <= reach)
+    budget = aims.agg(F.round(F.sum("target")).cast("bigint")).first()[0] or 0
+    served = running_sums(queue.withColumn("all", F.lit(0).cast("bigint")), "all", ["finish", "key", "row", "pass"], ["words"])
+    got = served.select("row", "pass", "finish", F.least(F.col("words"), F.lit(budget) - F.col("words_before")).alias("taken")).where("taken > 0")
+    return sized, work_table(got.groupBy("row", "pass").agg(F.sum("taken").alias("taken"), F.max("finish").alias("finish")))
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of `queue` in the order of the mix: range-sorted by their first virtual finish time, ties by key and id."""
-    return queue(docs, **options).orderBy(F.col("finish").asc_nulls_last(), "key", "doc_id", "size")
+    """One row for each row of `docs`: doc_id, source, key, size, source_size, target, taken, finish.
+
+    A source's documents queue in a shuffled order, `passes` times over; `taken` are a document's words among the packets before the
+    cut, over all passes, and `finish` the virtual time at which the last of them is served (null: none is). So each source's words
+    come within a packet of its target. A null or empty text has no words and none taken. A null source is a source of its own, the last one.
+
+    Repeated rows queue one by one; rows of one id, and those with null ids, stand in the order of their sizes, then of a hash of their texts. Only
+    rows of equal id and text are told apart by their place, so reruns agree. Packets that finish at one time are served by key.
+    """
+    sized, served = packets(docs, **options)
+    each = served.groupBy("row").agg(F.sum("taken").alias("taken"), F.max("finish").alias("finish"))
+    return sized.join(each, "row", "left").select("doc_id", "source", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "finish")
 
 
-def mixed_rows(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """Whole rows of `docs`, each as often as the mix takes it; a part counts as a whole from one half on.
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options: object) -> DataFrame:
+    """Whole rows of `docs` in the order of the mix, a row for each pass that takes it; a pass that takes a part counts from one half on.
 
-    Each row is joined by its key to its own place in the queue, so that rows of one id, and those with null ids, are cut one by one.
+    A row is known by a 128-bit hash of all its columns, so rows that are equal in every column stand for each other, and nothing else
+    does. `docs` is read twice and has to give the same rows again. Columns that Spark cannot hash (maps) are an error.
     """
-    rows = work_table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own")))
-    places = queue(rows, "own.text", "own.source", "own.doc_id", seed=seed, row="row").where("size > 0")
-    copies = places.select("row", F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int").alias("n")).where("n > 0")
-    return rows.join(copies, "row").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("own.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    flags = [c.isNull() for c in columns]
+    known = docs.select(F.struct(F.xxhash64(*columns, *flags), F.xxhash64(F.lit(7), *reversed(columns), *flags)).alias("id"), packed(docs).alias("own"))
+    sized, served = packets(known.select("id", F.col("own")[text].alias("text"), F.col("own")[source].alias("source"), F.col("own")[doc_id].alias("doc_id")), tag=["id"], **options)
+    whole = served.join(sized.select("row", "id", "size"), "row").where("2 * taken >= size")
+    # the narrow queue is dealt by time first: a row that many ids share has a bounded number of times in each deal, and its columns go there once
+    dealt = whole.select("id", "finish").repartitionByRange("finish").withColumn("deal", F.spark_partition_id())
+    times = dealt.groupBy("id", "deal").agg(F.collect_list("finish").alias("times"))
+    one = known.groupBy("id").agg(F.first("own").alias("own"))
+    placed = one.join(times, "id").select("deal", "own", F.col("id").getItem("col1").alias("tie"), "times").repartitionByRange("deal")
+    return placed.select("own", "tie", F.explode("times").alias("finish")).sortWithinPartitions("finish", "tie").select("own.*")

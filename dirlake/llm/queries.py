@@ -98,11 +98,14 @@ held AS (SELECT a.source, a.ratio, a.weight,
     (SELECT sum(b.weight) FROM r b WHERE b.ratio >= a.ratio) AS weights FROM r a),
 level AS (SELECT arg_min(words / weights, ratio) AS level FROM held WHERE words / weights <= ratio),
 t AS (SELECT w.source, source_size, least(cap, level * weight) AS target FROM w, level),
-q AS (SELECT d.*, t.source_size, t.target, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
-    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-    CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size))
-    + greatest(0, least(size, floor(target) - before - 2 * source_size)) AS BIGINT) AS taken FROM q
+q AS (SELECT d.*, t.source_size, t.target, row_number() OVER () AS row, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+passes AS (SELECT *, unnest([0, 1, 2]) AS pass FROM q WHERE size > 0 AND target > 0),
+packets AS (SELECT *, unnest(range(0, size, 1024)) AS lo, before + pass * source_size AS base FROM passes),
+timed AS (SELECT *, least(size, lo + 1024) - lo AS words, CAST(base + least(size, lo + 1024) AS DOUBLE) / target AS finish FROM packets),
+served AS (SELECT row, words, coalesce(sum(words) OVER (ORDER BY finish, key, row, pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM timed),
+cut AS (SELECT row, sum(greatest(0, least(words, (SELECT round(sum(target)) FROM t) - earlier))) AS taken FROM served GROUP BY row)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN cut ON q.row = cut.row
 """
 
 

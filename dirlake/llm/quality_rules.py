@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlake.llm.common import pieces, work_table
+from dirlake.llm.common import packed, pieces, work_table
 from dirlake.llm.textstats import CLASSES, Texts, class_counts, repeated_lines, repeated_words, symbol_counts, word_chars
 
 #: Common words whose shares make up the word histogram; one more bin holds all other words.
@@ -63,11 +63,15 @@ def text_stats(text: Column) -> Column:
     return stats(text.cast("string"))
 
 
-def language_histograms(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Work table (lang, n, c0, c1, ..., w0, w1, ...): both histograms summed over all documents of each language that has words. Rows without a language are in none."""
-    stats = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text_stats(F.col(text)).alias("s"))
+def measured(docs: DataFrame, text: str = "text", lang: str = "lang", columns: Sequence[str] | None = None) -> DataFrame:
+    """Work table (row, own, lang, s), a row for each row of `docs`: a key, its `columns` (all where None) as a struct, its language, and the statistics of its whole text. All that follows reads the statistics from here."""
+    return work_table(docs.select(F.monotonically_increasing_id().alias("row"), packed(docs, columns).alias("own"), F.col(lang).cast("string").alias("lang"), text_stats(F.col(text)).alias("s")))
+
+
+def language_histograms(rows: DataFrame) -> DataFrame:
+    """Work table (lang, n, c0, c1, ..., w0, w1, ...): both histograms summed over all rows (lang, s) of each language that has words. Rows without a language are in none."""
     sums = [F.sum(F.col("s.chars")[i]).alias(f"c{i}") for i in range(N_CHAR)] + [F.sum(F.col("s.common")[i]).alias(f"w{i}") for i in range(N_WORD)]
-    return work_table(stats.groupBy("lang").agg(F.sum("s.n_words").alias("n"), *sums).where("n > 0"))
+    return work_table(rows.where("lang is not null").groupBy("lang").agg(F.sum("s.n_words").alias("n"), *sums).where("n > 0"))
 
 
 def blocks(histograms: DataFrame, most: int = BLOCK) -> Iterator[dict[str, tuple[np.ndarray, np.ndarray]]]:
@@ -84,7 +88,7 @@ def blocks(histograms: DataFrame, most: int = BLOCK) -> Iterator[dict[str, tuple
 
 def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """The references of all languages at once, for few of them; `judge` takes them by blocks."""
-    return {k: v for block in blocks(language_histograms(docs, text, lang)) for k, v in block.items()}
+    return {k: v for block in blocks(language_histograms(measured(docs, text, lang, []))) for k, v in block.items()}
 
 
 def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -123,46 +127,40 @@ def divergence(stats: Column, refs: dict[str, tuple[np.ndarray, np.ndarray]]) ->
     return score(stats)
 
 
-def _scored(docs: DataFrame, text: str, histograms: DataFrame, most: int) -> DataFrame:
-    """`docs` with `_s`, its counts, and `_d`, its divergence. Beyond one block of languages each block passes once over a narrow work table and keeps the nearer reference."""
-    parts = blocks(histograms, most)
+def _near(rows: DataFrame, refs: dict | None, most: int) -> DataFrame:
+    """`rows` with `d`, the divergence of each from its nearest reference. Beyond one block of languages each block passes once over a narrow work table and keeps the nearer reference."""
+    parts = iter([refs]) if refs is not None else blocks(language_histograms(rows), most)
     first, more = next(parts, {}), next(parts, None)
     if more is None:
-        out = docs.withColumn("_s", text_stats(F.col(text)))
-        return out.withColumn("_d", divergence(F.col("_s"), first))
-    rows = work_table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own"), text_stats(F.col(text)).alias("_s")))
-    near = work_table(rows.select("row", "_s", divergence(F.col("_s"), first).alias("_d")))
+        return rows.withColumn("d", divergence(F.col("s"), first))
+    near = work_table(rows.select("row", "s", divergence(F.col("s"), first).alias("d")))
     while more is not None:
-        both = near.withColumn("_e", divergence(F.col("_s"), more))
+        both = near.withColumn("e", divergence(F.col("s"), more))
         # blocks come by name, so that a tie stays with the first name
-        less = F.col("_e.char_jsd") + F.col("_e.word_jsd") < F.col("_d.char_jsd") + F.col("_d.word_jsd")
-        near = work_table(both.select("row", "_s", F.when(less, F.col("_e")).otherwise(F.col("_d")).alias("_d")))
+        less = F.col("e.char_jsd") + F.col("e.word_jsd") < F.col("d.char_jsd") + F.col("d.word_jsd")
+        near = work_table(both.select("row", "s", F.when(less, F.col("e")).otherwise(F.col("d")).alias("d")))
         more = next(parts, None)
-    return rows.select("row", "own").join(near, "row").select("own.*", "_s", "_d")
+    return rows.select("row", "own").join(near, "row")
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: float = 0.21, max_word: float = 0.27, far_char: float = 0.35, min_chars: int = 250, min_words: int = 40, refs: dict | None = None, most: int = BLOCK) -> DataFrame:
-    """All rows and columns of `docs` and a struct `_q`: the base counts, `base_failed`, the distances, `kept`.
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: float = 0.21, max_word: float = 0.27, far_char: float = 0.35, min_chars: int = 250, min_words: int = 40, refs: dict | None = None, most: int = BLOCK, columns: Sequence[str] | None = None) -> DataFrame:
+    """(own, q), one row for each row of `docs`: its `columns` (all where None) as a struct, and a struct of the base counts, `base_failed`, the distances and `kept`.
 
     A document goes if it fails the base rules (under 10 words, or over 20 % of its words in repeated five-word
     windows) or if it is far from every language reference: its character-class distance is above `max_char` and
     its common-word distance above `max_word`, or its character-class distance alone is above `far_char`. The
     first needs `min_words` words, both need `min_chars` characters in words, since histograms of shorter texts
     say little. Null and empty texts have no words and fail; without any reference only the base rules
-    count. Repeated rows are judged one by one, alike. Every language has a reference; `most` of them are scored at once.
+    count. Repeated rows are judged one by one, alike. Of references at one distance the first by name is reported. Every language has a reference; `most` of them are scored at once.
     """
-    if refs is None:
-        out = _scored(docs, text, language_histograms(docs, text, lang), most)
-    else:
-        out = docs.withColumn("_s", text_stats(F.col(text)))
-        out = out.withColumn("_d", divergence(F.col("_s"), refs))
-    s, char, word = F.col("_s"), F.coalesce(F.col("_d.char_jsd"), F.lit(0.0)), F.coalesce(F.col("_d.word_jsd"), F.lit(0.0))
+    out = _near(measured(docs, text, lang, columns), refs, most)
+    s, char, word = F.col("s"), F.coalesce(F.col("d.char_jsd"), F.lit(0.0)), F.coalesce(F.col("d.word_jsd"), F.lit(0.0))
     failed = (s.n_words < 10) | (100 * s.n_repeat_words > 20 * s.n_words)
     far = (s.word_chars >= min_chars) & (((s.n_words >= min_words) & (char > max_char) & (word > max_word)) | (char > far_char))
-    q = F.struct(*(s[f].alias(f) for f in _BASE_FIELDS), failed.alias("base_failed"), F.col("_d.ref").alias("ref"), char.alias("char_jsd"), word.alias("word_jsd"), (~failed & ~far).alias("kept"))
-    return out.withColumn("_q", q).drop("_s", "_d")
+    q = F.struct(*(s[f].alias(f) for f in _BASE_FIELDS), failed.alias("base_failed"), F.col("d.ref").alias("ref"), char.alias("char_jsd"), word.alias("word_jsd"), (~failed & ~far).alias("kept"))
+    return out.select("own", q.alias("q"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep."""
-    return judge(docs).where("_q.kept").select(*docs.columns)
+    """The rows and columns of `docs` that the rules keep, repeated rows as often as they come; null and empty texts go."""
+    return judge(docs).where("q.kept").select("own.*")

@@ -22,7 +22,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(documents(spark, sf_dir)).select("doc_id", "_q.*")
+    return quality_rules.judge(documents(spark, sf_dir), columns=["doc_id"]).select("own.doc_id", "q.*")
 
 
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlake.llm.common import fold, pieces
+from dirlake.llm.common import fold, packed, pieces, work_table
 from dirlake.llm.textstats import CLASSES, Texts, class_counts, repeated_lines, repeated_words
 
 FEATURES = ("log_words", "word_length", "lower", "upper", "digit", "stop", "shout", "symbol", "pipe", "bracket_quote_dash", "newline", "wide_latin", "dup_lines", "repeats", "distinct_words", "class_entropy")
@@ -87,21 +87,25 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.temper * (log[1] - log[0]), -700, 700)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", shrink: float = 0.2, ridge: float = 1e-4) -> Discriminant | None:
-    """Class moments of all labelled rows whose crc32(doc_id as text) mod 3 is not 1, summed by Spark.
+def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", columns: Sequence[str] | None = None) -> DataFrame:
+    """Work table (own, id, x), a row for each row of `docs`: its `columns` (all where None) as a struct, its id, and the features of its whole text. All that follows reads the features from here."""
+    return work_table(docs.select(packed(docs, columns).alias("own"), F.col(doc_id).alias("id"), features(F.col(text)).alias("x")))
 
-    A document with several labels counts once for each; labels other than 0 and 1, and null ids, count for
+
+def fit(rows: DataFrame, labels: DataFrame, shrink: float = 0.2, ridge: float = 1e-4) -> Discriminant | None:
+    """Class moments of all labelled rows (id, x) of `rows` whose crc32(id as text) mod 3 is not 1, summed by Spark.
+
+    `labels` has (doc_id, quality). A document with several labels counts once for each; labels other than 0 and 1, and null ids, count for
     nothing. None if either class has no row.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"))
-    seen = docs.where(fold(F.col(doc_id), 3) != 1).select(F.col(doc_id).alias("_id"), features(F.col(text)).alias("_x"))
-    both = seen.join(known, "_id").select("_y", "_x")
+    known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y"))
+    both = rows.where(fold(F.col("id"), 3) != 1).select("id", "x").join(known, "id").select("y", "x")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums, outer = np.zeros(2), np.zeros((2, N)), np.zeros((2, N, N))
         for batch in batches:
-            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, N)
-            y = batch.column("_y").to_numpy(zero_copy_only=False)
+            x = _matrix(batch.column("x"))
+            y = batch.column("y").to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 own = x[y == k]
                 n[k] += len(own)
@@ -110,33 +114,41 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([[n[k], *sums[k], *outer[k].ravel()] for k in (0, 1)], pa.list_(pa.float64()))], names=["y", "m"])
 
     width = 1 + N + N * N
-    rows = both.mapInArrow(moments, "y int, m array<double>").groupBy("y").agg(F.array(*(F.sum(F.col("m")[i]) for i in range(width))).alias("m")).collect()
-    got = {r["y"]: np.array(r["m"]) for r in rows}
+    got_rows = both.mapInArrow(moments, "y int, m array<double>").groupBy("y").agg(F.array(*(F.sum(F.col("m")[i]) for i in range(width))).alias("m")).collect()
+    got = {r["y"]: np.array(r["m"]) for r in got_rows}
     if any(k not in got or got[k][0] == 0 for k in (0, 1)):
         return None
     m = np.array([got[0], got[1]])
     return Discriminant.of(m[:, 0], m[:, 1 : 1 + N], m[:, 1 + N :].reshape(2, N, N), shrink, ridge)
 
 
-def score(text: Column, model: Discriminant | None) -> Column:
-    """Probability that a whole text is of quality 1; 0.5 for all without a model. Empty and null texts have a score too."""
+def _matrix(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, N)
+
+
+def score(x: Column, model: Discriminant | None) -> Column:
+    """Probability that a text with the features `x` is of quality 1; 0.5 for all without a model. Empty and null texts have features too."""
 
     @F.arrow_udf("double")
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            done = [model.score(_features(p)) if model else np.full(len(p), 0.5) for p in pieces(texts)]
-            yield pa.array(np.concatenate([np.zeros(0), *done]))
+        for rows in batches:
+            yield pa.array(model.score(_matrix(rows)) if model else np.full(len(rows), 0.5))
+
+    return probability(x)
 
-    return probability(text.cast("string"))
 
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Discriminant | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """(own, held_out, score, predicted), one row for each row of `docs`: its `columns` (all where None) as a struct and the verdict.
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Discriminant | None = None) -> DataFrame:
-    """All rows and columns of `docs`, with `_held_out`, `_score` and `_predicted`."""
-    model = fit(docs, labels, text, doc_id) if model is None else model
-    out = docs.withColumn("_held_out", fold(F.col(doc_id), 3) == 1).withColumn("_score", score(F.col(text), model))
-    return out.withColumn("_predicted", (F.col("_score") >= 0.5).cast("int"))
+    Null and empty texts are scored by the features of an empty text. Repeated rows are scored one by one, alike, and rows of one id by their own
+    texts; a null id is never held out by a label, since none names it. A score of exactly 0.5 is predicted 1, so that without labels of both classes all rows are.
+    """
+    rows = measured(docs, text, doc_id, columns)
+    model = fit(rows, labels) if model is None else model
+    scored = rows.select("own", (fold(F.col("id"), 3) == 1).alias("held_out"), score(F.col("x"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier takes for quality 1."""
-    return classify(docs, labels).where("_predicted = 1").select(*docs.columns)
+    """The rows and columns of `docs` that the classifier, fitted on these rows, takes for quality 1; ties at 0.5, and all rows without a model, stay."""
+    return classify(docs, labels).where("predicted = 1").select("own.*")

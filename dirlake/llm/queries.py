@@ -39,7 +39,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_qda.classify(documents(spark, sf_dir), labels).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    return quality_qda.classify(documents(spark, sf_dir), labels, columns=["doc_id"]).select("own.doc_id", "held_out", "score", "predicted")
 
 
 def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

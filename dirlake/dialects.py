@@ -37,6 +37,22 @@ RULES = {
 SCHEMA_DNS = ("cn=subschemasubentry", "cn=subschema", "cn=schema")
 
 
+#: Object classes of schema entries, and the numbers that mark a dialect's definitions.
+SCHEMA_CLASSES = ("subschema", "subentry")
+OID_SIGNS = {
+    "oid": r"2\.16\.840\.1\.113894\.|orcl", "oud": r"(?i)ds-sync-|ds-pwp-|ds-cfg-|root dns", "ad": r"1\.2\.840\.113556\.", "apache": r"1\.3\.6\.1\.4\.1\.18060\.", "ds389": r"2\.16\.840\.1\.113730\.",
+    "novell": r"2\.16\.840\.1\.113719\.", "openldap1": r"1\.3\.6\.1\.4\.1\.4203\.", "openldap2": r"1\.3\.6\.1\.4\.1\.4203\.", "ibm_tivoli": r"\b1\.3\.18\.",
+}
+#: Attributes and first words of a dialect's access rules.
+RULE_SIGNS = {
+    "rfc": (("aci",), ()), "oud": (("aci",), ("(target", "(version")), "ds389": (("aci",), ("(target", "(version")), "oid": (("orclaci", "orclentrylevelaci"), ("access to entry", "access to attr")),
+    "openldap2": (("olcAccess",), ("to ", "{")), "openldap1": (("access",), ("access to",)), "novell": (("acl", "aclRights"), ()), "ad": (("nTSecurityDescriptor",), ("o:", "d:", "g:", "s:")), "ibm_tivoli": (("ibm-filterAclEntry", "aclEntry"), ("access ",)),
+}
+#: What matching rules and syntaxes of one dialect are in the others.
+RULES_IN = {"caseIgnoreSubStringsMatch": "caseIgnoreSubstringsMatch", "accessDirectiveMatch": "caseIgnoreMatch", "distinguishedNAMEMatch": "distinguishedNameMatch", "DistinguishedNameMatch": "distinguishedNameMatch", "caseIgnoreSubstringMatch": "caseIgnoreSubstringsMatch", "CaseIgnoreMatch": "caseIgnoreMatch", "CaseExactMatch": "caseExactMatch"}
+SYNTAXES_IN = {"1.3.6.1.4.1.1466.115.121.1.1": "1.3.6.1.4.1.1466.115.121.1.15"}
+
+
 def resolve(name: str) -> str:
     """The dialect of a name in any spelling; an unknown one is an error."""
     low = name.strip().lower()
@@ -65,5 +81,5 @@ SIGNATURES = {
     "oud": Signature(("cn=root dns",), ("ds-sync-", "ds-pwp-", "ds-cfg-"), ()),
 }
 #: Structural classes of which an entry has one, and attributes that a domain may not have.
-STRUCTURAL = ("domain", "organization", "organizationalunit", "person", "groupofuniquenames", "groupofnames", "orclsubscriber", "orclgroup", "customsistemas", "customuser")
+STRUCTURAL = ("domain", "organization", "organizationalunit", "person", "groupofuniquenames", "groupofnames", "orclsubscriber", "orclgroup")
 NOT_IN_DOMAIN = ("cn", "uniquemember", "member", "orclsubscriberfullname", "orclversion", "orclgroupcreatedate")

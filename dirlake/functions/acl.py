@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from dirlake.functions.attrs import attr_of_array, plain_value
 from dirlake.functions.dn import strip
+from dirlake.model import ATTRS
 
 #: Permissions of an access rule, and those that evaluation asks for.
 PERMISSIONS = ("read", "write", "add", "delete", "search", "compare", "self_write", "proxy", "browse", "auth", "all", "none", "no_add", "no_delete", "no_proxy", "no_browse")
@@ -19,8 +22,8 @@ ENTRY_PERMS = {"all": "all", "browse": "read, search", "add": "add", "delete": "
 ATTR_PERMS = {"all": "all", "read": "read", "search": "search", "write": "write", "selfwrite": "selfwrite", "compare": "compare"}
 NEGATIONS = {"noread": "read", "nosearch": "search", "nowrite": "write", "noselfwrite": "selfwrite", "nocompare": "compare", "noadd": "add", "nodelete": "delete", "noproxy": "proxy", "nobrowse": "browse"}
 ORDER = ("all", "read", "search", "write", "selfwrite", "compare", "add", "delete", "proxy")
-#: Names under a base where a rule for anyone would reach the whole tree.
-HIGH_LEVEL = ("", "dc=network,", "cn=users,dc=network,", "cn=groups,dc=network,", "cn=perfis,dc=network,")
+#: Names under a base where a rule for anyone would reach the whole tree: the base itself, and what a site adds to it.
+HIGH_LEVEL = ("",)
 
 
 def parse_aci(aci: Column) -> Column:
@@ -108,8 +111,8 @@ _SUBJECTS = (
 )
 
 
-def translate_oid_rule(dn: str, rule: str, entry_level: bool = False, base: str = "") -> tuple[str | None, list[str]]:
-    """One OID access rule as an ACI, and notes on what was left out; no ACI if nothing is granted. A small helper for single rules."""
+def translate_oid_rule(dn: str, rule: str, entry_level: bool = False, base: str = "", high_level: Sequence[str] = HIGH_LEVEL) -> tuple[str | None, list[str]]:
+    """One OID access rule as an ACI, and notes on what was left out; no ACI if nothing is granted. `high_level` are starts of names that stand before the base, where a rule for anyone is dropped. A small helper for single rules."""
     import re
 
     text = rule.strip()
@@ -133,7 +136,7 @@ def translate_oid_rule(dn: str, rule: str, entry_level: bool = False, base: str
     notes: list[str] = []
     groups: dict[tuple[tuple[str, ...], str], list[str]] = {}
     anyone_stays, stopped, first = False, False, None
-    high = {h + base.lower() for h in HIGH_LEVEL} if base else set()
+    high = {h + base.lower() for h in high_level} if base else set()
     at = re.sub(r"\s*,\s*", ",", dn.lower())
     for clause in re.findall(r"(?i)\bby\s+(.*?\([^()]*\))(?=\s+by\s|\s*$)", rest):
         for pattern, kind, form, name in _SUBJECTS:
@@ -203,3 +206,46 @@ def distinct_rules(acls: DataFrame, key: str, aci: str = "aci", pos: str = "pos"
     """(key, aci, pos): rules that differ in more than blanks and case, the first spelling of each."""
     norm = F.lower(F.regexp_replace(F.col(aci), r"\s+", " "))
     return acls.groupBy(key, norm.alias("_n")).agg(F.min_by(aci, pos).alias(aci), F.min(pos).alias(pos)).drop("_n")
+
+
+def rewrite_rules(df: DataFrame, base: str = "") -> DataFrame:
+    """Entries (dn, attrs, ...) with their OID access rules as ACIs: rules of `orclaci`, `orclentrylevelaci`, and of `aci` where they begin with `access to`.
+
+    ACIs that differ in more than blanks and case come once, after those that stood there already; a rule with an unknown token stays as it is.
+    """
+    is_rule = lambda a, v: F.lower(a["name"]).isin("orclaci", "orclentrylevelaci", "aci") & F.lower(F.ltrim(v["value"])).startswith("access to")
+    attrs = F.col("attrs")
+    old = F.flatten(F.transform(attrs, lambda a: F.transform(F.filter(a["values"], lambda v: is_rule(a, v)), lambda v: F.struct(F.lower(a["name"]).alias("name"), v["value"].alias("rule")))))
+
+    name = max(["rules", *df.columns], key=len) + "_"
+    kind = pa.list_(pa.struct([("aci", pa.string()), ("rule", pa.string()), ("name", pa.string())]))
+
+    def translate(d: str, own: list[dict]) -> list[dict]:
+        done: dict[str, dict] = {}
+        for r in own:
+            try:
+                aci, _ = translate_oid_rule(d, r["rule"], r["name"] == "orclentrylevelaci", base)
+                got = {"aci": aci, "rule": None, "name": None}
+            except ValueError:
+                got = {"aci": None, "rule": r["rule"], "name": r["name"]}
+            if got["aci"] or got["rule"]:
+                done.setdefault(" ".join((got["aci"] or got["rule"]).lower().split()), got)
+        return list(done.values())
+
+    def translated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rules = batch.column(name).to_pylist()
+            names = batch.column("dn").to_pylist()
+            done = pa.array([translate(d or "", own) if own else [] for d, own in zip(names, rules, strict=True)], kind)
+            yield pa.record_batch([*batch.columns[:-1], done], names=batch.schema.names)
+
+    marked = df.withColumn(name, F.coalesce(old, F.array().cast("array<struct<name: string, rule: string>>")))
+    df = marked.mapInArrow(translated, StructType([*df.schema.fields, StructField(name, ArrayType(StructType([StructField(c, StringType()) for c in ("aci", "rule", "name")])))]))
+    new = F.col(name)
+    kept = F.filter(F.transform(attrs, lambda a: F.struct(a["name"].alias("name"), F.filter(a["values"], lambda v: ~is_rule(a, v)).alias("values"))), lambda a: F.size(a["values"]) > 0)
+    there = F.flatten(F.transform(F.filter(kept, lambda a: F.lower(a["name"]) == "aci"), lambda a: F.transform(a["values"], lambda v: v["value"])))
+    acis = F.array_distinct(F.concat(there, F.transform(F.filter(new, lambda r: r["aci"].isNotNull()), lambda r: r["aci"])))
+    bad = F.transform(F.filter(new, lambda r: r["rule"].isNotNull()), lambda r: F.struct(r["name"].alias("name"), F.array(plain_value(r["rule"])).alias("values")))
+    rest = F.filter(kept, lambda a: F.lower(a["name"]) != "aci")
+    done = F.when(F.size(old) == 0, attrs.cast(ATTRS)).otherwise(F.concat(rest.cast(ATTRS), F.when(F.size(acis) > 0, F.array(attr_of_array("aci", acis))).otherwise(F.array()).cast(ATTRS), bad.cast(ATTRS)))
+    return df.withColumn("attrs", done).drop(name)

@@ -123,6 +123,37 @@ def clean_dn_stats(dn: Column) -> Column:
     return F.struct(now.alias("cleaned"), *flags)
 
 
+#: Characters that may not stand first, inside or last in a value's string form.
+LEAD, INNER, TRAIL = ' "#+,;<>\\', '"+,;<>\\', ' "+,;<>\\'
+
+
+def string_char_ok(char: Column, where: str = "inner") -> Column:
+    """Whether one character may stand at the `lead`, `inner` or `trail` place of a value's string form: ASCII, not null, and not one of that place's specials."""
+    bad = {"lead": LEAD, "inner": INNER, "trail": TRAIL}[where]
+    return F.coalesce((F.length(char) == 1) & char.rlike(r"^[\x01-\x7F]$") & ~F.lit(bad).contains(char), F.lit(False))
+
+
+def string_errors(value: Column, strict: bool = True) -> Column:
+    """What is wrong with a value's string form: its first, last and inner characters, unless a backslash stands before them. Without `strict` nothing is."""
+    none = F.array().cast("array<string>")
+    if not strict:
+        return F.when(value.isNotNull(), none)
+    quote = lambda c: F.concat(F.when(c == "'", F.lit('"')).otherwise(F.lit("'")), F.replace(c, F.lit("\\"), F.lit("\\\\")), F.when(c == "'", F.lit('"')).otherwise(F.lit("'")))
+    n, at = F.length(value), lambda i: F.substring(value, i, F.lit(1))
+    first, last = at(F.lit(1)), at(n)
+    lead = F.when(~string_char_ok(first, "lead") & ~((first == "\\") & (n > 1)), F.array(F.concat(F.lit("Invalid lead character: "), quote(first)))).otherwise(none)
+    trail = F.when((n > 1) & ~string_char_ok(last, "trail") & (at(n - 1) != "\\"), F.array(F.concat(F.lit("Invalid trail character: "), quote(last)))).otherwise(none)
+    places = F.when(n > 2, F.sequence(F.lit(2), n - 1)).otherwise(F.array().cast("array<int>"))
+    bad = F.filter(places, lambda i: ~string_char_ok(at(i), "inner") & (at(i) != "\\") & (at(i - 1) != "\\"))
+    inner = F.transform(bad, lambda i: F.concat(F.lit("Invalid character at position "), (i - 1).cast("string"), F.lit(": "), quote(at(i))))
+    return F.when(value == "", none).when(value.isNotNull(), F.concat(lead, trail, inner))
+
+
+def squeezed(dn: Column) -> Column:
+    """A name without blanks around its commas and equals signs: the form that access rules compare."""
+    return strip(F.regexp_replace(F.regexp_replace(dn, r"\s*,\s*", ","), r"\s*=\s*", "="))
+
+
 def is_valid_dn(dn: Column) -> Column:
     """Whether all components have the shape `type=value` and escapes are two hex digits or a special; a backslash among the last two characters is not valid."""
     shaped = F.forall(split_dn(dn), lambda p: p.rlike(COMPONENT))

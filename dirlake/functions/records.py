@@ -204,6 +204,20 @@ def text_of(entry: Column, width: int) -> Column:
     return texts.asNondeterministic()(entry)
 
 
+_KINDS = {
+    "attrs": pa.list_(pa.struct([("name", pa.string()), ("values", pa.list_(_VALUE))])),
+    "controls": pa.list_(pa.struct([("control_type", pa.string()), ("criticality", pa.bool_()), ("value", pa.string()), ("value_origin", pa.string()), ("raw_value", pa.string())])),
+    "change_ops": pa.list_(pa.struct([("op", pa.string()), ("attr", pa.string()), ("values", pa.list_(_VALUE))])),
+    "comments": pa.list_(pa.string()), "deleteoldrdn": pa.bool_(),
+}
+
+
+def texts(fields: dict[str, pa.Array | None], n: int, width: int) -> pa.Array:
+    """The LDIF texts of `n` entries given by their columns; one that is None counts as null everywhere."""
+    own = {c: pa.nulls(n, _KINDS.get(c, pa.string())) if x is None else x for c, x in fields.items()}
+    return _texts(pa.StructArray.from_arrays(list(own.values()), list(own)), width)
+
+
 def _join(*parts: pa.Array | str) -> pa.Array:
     return pc.binary_join_element_wise(*parts, "", null_handling="emit_null")
 

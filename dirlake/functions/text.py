@@ -24,6 +24,10 @@ def unfold(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=[^\n])\n[ \t]", "")
 
 
+def unfold_text(text: str) -> str:
+    return re.sub(r"(?<=[^\n])\n[ \t]", "", text)
+
+
 def needs_base64(value: Column) -> Column:
     """Whether a value is unsafe text, which is written as base64."""
     return F.coalesce(value.rlike(UNSAFE), F.lit(False))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dirlake import dialects as D
 from dirlake.functions import attrs as A
+from dirlake.functions.acl import rewrite_rules
 from dirlake.functions.dn import depth, is_under_base, is_valid_dn, norm_dn, rebase
+from dirlake.storage import stored
 
 
 def matches(attrs: Column, dn: Column, *, object_classes: Sequence[str] = (), mode: str = "any", required: Sequence[str] = (), any_of: Sequence[str] = (), dn_pattern: str | None = None, schema: bool | None = None) -> Column:
@@ -73,8 +75,6 @@ def pipeline_statistics(df: DataFrame) -> DataFrame:
 
 
 def _all():  # noqa: ANN202
-    from pyspark.sql import Window
-
     # over one row for each category, a handful
     return Window.partitionBy(F.lit(0))
 
@@ -112,6 +112,22 @@ def sort_by_depth(df: DataFrame) -> DataFrame:
     return df.orderBy(depth(F.col("dn")), F.lower(norm_dn(F.col("dn"))))
 
 
+def ranked(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """`df` with each row's place, from 1, in an order over all rows; ties are in any order.
+
+    Rows are range-sorted, so that each task holds a range. The sorted rows are stored with their task's number and their place in it, each range
+    reports its size (as many rows as tasks), and the sizes before a range are added.
+    """
+    sort = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    rows = stored(sort)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    # one row for each task
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_range").alias("_own"), "first", earlier.alias("earlier"))
+    placed = rows.join(F.broadcast(offsets), F.col("_range") == F.col("_own"))
+    return placed.withColumn(name, F.col("_at") - F.col("first") + F.col("earlier") + 1).select(*df.columns, name)
+
+
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """(key, change): names that only one side has, and entries whose attributes differ; joined by the name's normal form."""
     flat = lambda df, s: df.select(F.lower(norm_dn(F.col("dn"))).alias("key"), F.xxhash64(A.flat(A.sort_attributes(F.col("attrs")))).alias(s))
@@ -120,9 +136,11 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("key", change.alias("change")).where("change is not null")
 
 
-def convert(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Entries of one dialect as those of another: names and booleans, and the name of the schema entry, between oid and all others; the dialects are noted."""
+def convert(df: DataFrame, source: str, target: str, base: str = "") -> DataFrame:
+    """Entries of one dialect as those of another: access rules from oid to oud, names and booleans, and the name of the schema entry, between oid and all others; the dialects are noted. Rules for subjects outside `base` are dropped."""
     source, target = D.resolve(source), D.resolve(target)
+    if source == "oid" and target == "oud":
+        df = rewrite_rules(df, base)
     attrs, dn = F.col("attrs"), F.col("dn")
     if source == "oid" and target != "oid":
         attrs, dn = A.booleans_to_rfc(A.rename(attrs, A.OID_TO_RFC)), F.replace(dn, F.lit("cn=subschemasubentry"), F.lit("cn=schema"))
@@ -131,9 +149,9 @@ def convert(df: DataFrame, source: str, target: str) -> DataFrame:
     return df.withColumn("attrs", attrs).withColumn("dn", dn).withColumn("original_server_type", F.lit(source)).withColumn("server_type", F.lit(target))
 
 
-def process(df: DataFrame, *, source: str | None = None, target: str | None = None, normalize_names: bool = True, normalize_attrs: bool = True) -> DataFrame:
+def process(df: DataFrame, *, source: str | None = None, target: str | None = None, normalize_names: bool = True, normalize_attrs: bool = True, base: str = "") -> DataFrame:
     """The processing chain, in its fixed order: dialect, names, attributes. Entries without a valid name keep theirs and an `error`."""
-    out = convert(df, source, target) if source and target else df
+    out = convert(df, source, target, base) if source and target else df
     if normalize_names:
         bad = ~is_valid_dn(F.col("dn"))
         out = out.withColumn("error", F.when(bad, "invalid dn")).withColumn("dn", F.when(bad, F.col("dn")).otherwise(norm_dn(F.col("dn"))))

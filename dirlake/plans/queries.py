@@ -322,11 +322,8 @@ def children_by_parent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_CATEGORY + "SELECT dn, row_number() OVER (ORDER BY len(string_split(dn, ',')), lower(dn)) AS place FROM (SELECT dn FROM u UNION ALL SELECT dn FROM s)")
 def sort_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     both = tree.units(spark, sf).select("dn").union(tree.suppliers(spark, sf).select("dn"))
-    # the place is only for comparison; the operator itself is a range sort
-    return E.sort_by_depth(both).withColumn("place", F.row_number().over(Window.orderBy(N.depth(F.col("dn")), F.lower(N.norm_dn(F.col("dn")))))).select("dn", F.col("place").cast("bigint").alias("place"))
+    return E.ranked(both, N.depth(F.col("dn")), F.lower(N.norm_dn(F.col("dn"))))
 
 
 @query(_TREE + "SELECT lower(dn) AS key, CASE c_custkey % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'modify' END AS change FROM c WHERE c_custkey % 3 < 2 UNION ALL SELECT 'cn=new,' || lower(dn), 'add' FROM u")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dirlake.functions import records as R
 from dirlake.functions import text as T
@@ -106,11 +107,18 @@ def written(df: DataFrame, width: int = T.WIDTH, column: str = "ldif", comments:
     Lines over `width` bytes are folded, access rules never. Encoded and linked values are written with the payload they were read with; other values
     that are not safe text are base64. `comments` writes an entry's comments before its name.
     """
-    have = set(df.columns)
-    pick = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
-    fields = [pick(c, kind).alias(c) for c, kind in _WRITTEN.items()]
-    fields.append((F.col("comments") if comments else F.lit(None).cast("array<string>")).alias("comments"))
-    return df.withColumn(column, R.text_of(F.struct(*fields), width))
+    have = [c for c in _WRITTEN if c in df.columns]
+    typed = df.withColumns({c: F.col(c).cast(_WRITTEN[c]) for c in have})
+    notes = ["comments"] if comments else []
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = {c: batch.column(c) for c in (*have, *notes)}
+            texts = R.texts({c: fields.get(c) for c in (*_WRITTEN, "comments")}, batch.num_rows, width)
+            yield pa.record_batch([*batch.columns, texts], names=[*batch.schema.names, column])
+
+    # whole batches, not a function in an expression: what made the attributes stays in a projection of its own
+    return typed.mapInArrow(add, StructType([*typed.schema.fields, StructField(column, StringType())]))
 
 
 def _with_version(texts: DataFrame) -> DataFrame:

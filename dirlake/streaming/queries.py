@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dirlake.storage import new_path
 from dirlake.streaming.changelog import apply_changes, windowed_counts
 
 _TYPE = "CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'modify' END"
@@ -19,11 +18,13 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _finish(stream: DataFrame, mode: str) -> DataFrame:
-    """All rows that a stream gives for what is there now."""
-    name = "s" + uuid.uuid4().hex
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All rows that a stream gives for what is there now, each batch as Parquet files of its own; in complete mode the last batch is all."""
+    spark = stream.sparkSession
+    path = new_path(spark)
+    name = lambda batch: f"{path}/rows/batch={'last' if mode == 'complete' else batch}"
+    run = stream.writeStream.outputMode(mode).foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(name(batch))).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
 
 
 def changelog_state(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from dirlake.functions import attrs as A
 from dirlake.functions import text as T
+from dirlake.operators import compat as C
 from dirlake.operators import entries as E
 from dirlake.sources import ldif
 
@@ -48,6 +49,49 @@ def test_change_records_round_trip(spark):
     assert [o["op"] for o in again.first()["change_ops"]] == ["add", "delete", "increment"]
 
 
+def test_written_again_byte_by_byte(spark):
+    texts = ["dn: cn=a\nphoto:: /9j/4AAB\nsn:: ICBsZWFkIA==\ncn: a", "dn: cn=a\ncontrol: 1.2 true:< http://a/b\nchangetype: delete", "dn: cn=a\nchangetype: modify\nadd: x\nx:: IHkg\n-", "dn: cn=a\nl: " + "w" * 200]
+    got = ldif.written(ldif.parse_text(spark.createDataFrame([(t,) for t in texts], "text string"))).collect()
+    assert [T.unfold_text(r["ldif"]) for r in got] == texts and [r["record_no"] for r in got] == [0] * 4
+
+
+def test_files_of_both_line_ends(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    one = "dn: cn=a\ncn: a\n\ndn: cn=b\ncn: b\n b\n\n\ndn: cn=c\ncn: c\n"
+    (tmp_path / "in" / "a.ldif").write_bytes(one.encode())
+    (tmp_path / "in" / "b.ldif").write_bytes(one.replace("\n", "\r\n").encode())
+    (tmp_path / "in" / "c.ldif").write_bytes(b"")
+    got = ldif.read_ldif(spark, str(tmp_path / "in"), number=True).select(F.element_at(F.split("source", "/"), -1).alias("f"), "record_no", "dn", A.first_value(F.col("attrs"), "cn").alias("cn")).collect()
+    want = [(f, k, f"cn={x}", x * (2 if x == "b" else 1)) for f in ("a.ldif", "b.ldif") for k, x in enumerate("abc")]
+    assert sorted(map(tuple, got)) == want
+    # a file that ends its lines with carriage returns is still many blocks
+    assert spark.read.text(str(tmp_path / "in" / "b.ldif"), lineSep="\r\n\r\n").count() > 1
+    with pytest.raises(FileNotFoundError):
+        ldif.read_ldif(spark, str(tmp_path / "none.ldif"))
+
+
+def test_version_line_and_comments(spark, tmp_path):
+    e = ldif.parse_text(spark.createDataFrame([("# note\ndn: cn=a\ncn: a",)], "text string"))
+    ldif.write_ldif(e, str(tmp_path / "out"), version=True, comments=True)
+    assert "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")) == "version: 1\n\n# note\ndn: cn=a\ncn: a\n\n"
+    assert ldif.read_ldif(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_places_over_all_rows(spark):
+    df = spark.range(200).selectExpr("id", "id * 37 % 200 as k").repartition(5)
+    assert [(r.k, r.place) for r in E.ranked(df, F.col("k")).orderBy("place").collect()] == [(i, i + 1) for i in range(200)]
+    assert E.ranked(df.limit(0), F.col("k")).count() == 0
+
+
+def test_files_migrated(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.ldif").write_text("dn: cn=a,o=x\nobjectClass: person\ncn: a\norclguid: 1\norclaci: access to entry by self (browse)\n\ndn: broken\ncn: b\n")
+    got = C.migrate_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), "oid", "oud", source_base="o=x", target_base="o=y").collect()
+    assert sorted((r.source is None, r.entries, r.rejected, r.success_rate) for r in got) == [(False, 2, 1, 50.0), (True, 2, 1, 50.0)]
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("category=acl/part-*"))
+    assert "dn: cn=a,o=y" in text and 'aci: (targetattr="*")' in text and "entryuuid: 1" in text.lower() and (tmp_path / "out" / "category=rejected").is_dir()
+
+
 def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(None,), ("",), ("\n\n \n",)], "text string")
     assert ldif.parse_text(df).count() == 0

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dirlake.llm.common import fold, pieces, utf8
+from dirlake.llm.common import fold, packed, pieces, utf8, work_table
 
-#: Units of each direction, bytes of a window, training documents at most, windows of each.
+#: Units of each direction, bytes of a window, training documents (or one of each language, where there are more), windows of each.
 UNITS, SPAN, SAMPLE, WINDOWS = 8, 128, 3000, 6
 _TRAIN_SPAN, _STEPS, _BATCH = 48, 260, 160
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -158,12 +158,10 @@ def _gradients(net: Network, raw: np.ndarray, labels: np.ndarray) -> list[np.nda
 
 
 def _sampled(texts: pa.Array, seeds: list[int]) -> Iterator[tuple[int, bytes]]:
-    """Up to WINDOWS windows of each text that has a letter, at places drawn over the whole text."""
+    """Up to WINDOWS windows of each text, at places drawn over the whole text."""
     raw, ends = utf8(texts)
     for k, seed in enumerate(seeds):
         own = _FOLD[raw[ends[k] : ends[k + 1]]]
-        if not _LETTER[own].any() and not (own >= 0xC3).any():
-            continue
         rng = np.random.default_rng(seed & 0xFFFFFFFF)
         most = max(1, min(WINDOWS, len(own) // _TRAIN_SPAN))
         for start in rng.integers(0, max(1, len(own) - _TRAIN_SPAN + 1), most):
@@ -171,19 +169,31 @@ def _sampled(texts: pa.Array, seeds: list[int]) -> Iterator[tuple[int, bytes]]:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Network | None:
-    """A network trained on `sample` documents at most, drawn by a hash of their ids among rows with a language and a text whose crc32(doc_id as text) mod 5 is not 0; None without any."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).cast("string").alias("text")).where((fold(F.col("id"), 5) != 0) & F.col("lang").isNotNull())
-    drawn = rows.select("h").orderBy("h").limit(sample).distinct()
+    """A network trained on about `sample` documents, an equal quota of each language and one document of each at least; None without any.
+
+    Drawn are rows with a language and a text with a letter, whose crc32(doc_id as text) mod 5 is not 0: of each language those with the smallest hashes
+    of id and text, repeated rows once. All rows take part in the draw; only the drawn ones, quota times languages at most, reach the driver, each as WINDOWS windows of _TRAIN_SPAN bytes at places drawn over its whole text.
+    """
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id), body).alias("h"), body.alias("text")).where((fold(F.col(doc_id), 5) != 0) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    counts = work_table(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    if not languages:
+        return None
+    quota = max(1, sample // languages)
+    # a threshold leaves a few times the quota of each language, whatever its size; all of a small one
+    limit = F.least(F.lit(1.0), (4 * quota + 60) / F.col("n")) * float(1 << 63)
+    near = rows.select("lang", "h").join(counts, "lang").where(F.abs(F.col("h").cast("double")) <= limit).select("lang", "h").distinct()
+    drawn = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= quota).select("lang", "h")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(_sampled(batch.column("text"), batch.column("h").to_pylist()))
             names, hashes = batch.column("lang").to_pylist(), batch.column("h").to_pylist()
+            got = list(_sampled(batch.column("text"), hashes))
             yield pa.record_batch([pa.array([hashes[k] for k, _ in got], pa.int64()), pa.array([names[k] for k, _ in got], pa.string()), pa.array([w for _, w in got], pa.binary())], names=["h", "lang", "w"])
 
-    # drawn has `sample` rows at most, so it can go to every task; repeated rows of a drawn id are cut off by the limit
-    cut = rows.where("text is not null").join(F.broadcast(drawn), "h", "left_semi").mapInArrow(windows, "h bigint, lang string, w binary")
-    got = cut.orderBy("h", "lang", "w").limit(sample * WINDOWS).toArrow()
+    cut = rows.join(F.broadcast(drawn), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).mapInArrow(windows, "h bigint, lang string, w binary")
+    got = cut.orderBy("h", "lang", "w").toArrow()
     if not got.num_rows:
         return None
     names = got.column("lang").to_pylist()
@@ -241,8 +251,11 @@ def predict(text: Column, net: Network | None) -> Column:
     return label(text.cast("string"))
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", net: Network | None = None) -> DataFrame:
-    """All rows and columns of `docs`, with `_held_out`, `_lang` and `_score`. Repeated rows are labelled alike."""
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", net: Network | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """(own, held_out, lang, score), one row for each row of `docs`: its `columns` (all where None) as a struct and the label of its whole text.
+
+    A null text, one without a letter, and any text without a network is `und` with score 0; of equal probabilities the first language by name is taken. Repeated rows are labelled alike.
+    """
     net = fit(docs, text, lang, doc_id) if net is None else net
-    out = docs.withColumn("_held_out", fold(F.col(doc_id), 5) == 0).withColumn("_p", predict(F.col(text), net))
-    return out.withColumns({"_lang": F.col("_p.lang"), "_score": F.col("_p.score")}).drop("_p")
+    labelled = docs.select(packed(docs, columns).alias("own"), (fold(F.col(doc_id), 5) == 0).alias("held_out"), predict(F.col(text), net).alias("p"))
+    return labelled.select("own", "held_out", "p.lang", "p.score")

@@ -47,7 +47,7 @@ def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(documents(spark, sf_dir)).select("doc_id", F.col("_held_out").alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return langid.identify(documents(spark, sf_dir), columns=["doc_id"]).select("own.doc_id", "held_out", F.col("lang").alias("lang_pred"), "score")
 
 
 def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

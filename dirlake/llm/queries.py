@@ -18,7 +18,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return url_rules.judge(pages).select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+    return url_rules.judge(pages).select("own.page_id", "host", "path", "rule", "verdict")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,10 @@ def prefix_states(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     A turn's term hashes its place, role and text, so that a state is the running sum of terms. Both running sums run over sorted
     ranges, so that a conversation of any length spreads over tasks.
     """
-    one = turns.dropDuplicates(["conv_id", "turn", "role", "text"]).withColumn("one", F.lit(1).cast("bigint"))
-    ranked = work_table(running_sums(one, "conv_id", ["turn", "role", "text"], ["one"]).withColumn("n", F.col("one_before") + 1).drop("one", "one_before"))
-    terms = ranked.select("conv_id", "n", F.xxhash64("n", "role", F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text", "n", F.lit(3), "role").alias("t2"))
-    sums = running_sums(terms, "conv_id", ["n"], ["t1", "t2"])
+    one = turns.dropDuplicates(["conv_id", "turn", "role", "text"]).withColumn("key", F.col("conv_id").cast("string")).withColumn("one", F.lit(1).cast("bigint"))
+    ranked = work_table(running_sums(one, "key", ["turn", "role", "text"], ["one"]).withColumn("n", F.col("one_before") + 1).drop("one", "one_before"))
+    terms = ranked.select("conv_id", "key", "n", F.xxhash64("n", "role", F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text", "n", F.lit(3), "role").alias("t2"))
+    sums = running_sums(terms, "key", ["n"], ["t1", "t2"])
     # one more hash per term keeps the sum inside 64 bits without overflow errors
     states = work_table(sums.select("conv_id", "n", F.xxhash64("t1_before", "t1").alias("s1"), F.xxhash64("t2_before", "t2").alias("s2")))
     return ranked, states
@@ -45,11 +45,11 @@ def maximal(states: DataFrame) -> DataFrame:
 def format_chats(conversations: DataFrame, part_turns: int = PART) -> DataFrame:
     """(conv_id, part, n_turns, n_logged, text): the rendered maximal conversations, `part_turns` turns to a part; most have one part, and a conversation's text is its parts' in their order.
 
-    `conversations` has rows (conv_id, turn, role, text). Turns stand in the order of turn, role and text, nulls first. Equal rows count
+    `conversations` has rows (conv_id, turn, role, text); ids and turn numbers may have any type that has an order, such as text. Turns stand in the order of turn, role and text, nulls first. Equal rows count
     once. Rows without a conv_id belong to no conversation and are left out. A conversation collapses if its turns (roles and texts) are
     the first turns of a longer one, or all turns of one with a smaller id.
     """
-    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    turns = conversations.where("conv_id is not null").select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ranked, states = prefix_states(turns)
     kept = ranked.join(maximal(states), "conv_id")
     pieces = kept.select("conv_id", F.floor((F.col("n") - 1) / part_turns).cast("int").alias("part"), "n_turns", "n_logged", "n", render_turn(F.col("role"), F.col("text")).alias("piece"))

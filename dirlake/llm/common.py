@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -13,25 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dirlake.storage import shared_dir
+
 #: The white space that ends a word, as a Java/RE2 character class body.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, a temporary one on a local master; on a cluster that is an error."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    own = spark.conf.get("dirlake.work.dir", None)
-    if own is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="dirlake-")
-        spark.conf.set("dirlake.work.dir", own)
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 _SCOPES: list[list[str]] = []
 
 

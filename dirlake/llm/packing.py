@@ -13,8 +13,6 @@ from dirlake.llm.mixing import size_of
 #: Words of a sequence, and documents that are packed together.
 CAPACITY, BLOCK = 2048, 4096
 
-_OUT = "doc_id bigint, part int, n_words bigint, source string, cluster bigint, bin_id bigint, start bigint"
-
 
 class Bins:
     """Open bins by residual capacity. An integer's bits mark the residuals that have bins, so that the successor of a size is a bit scan."""
@@ -57,14 +55,14 @@ class Bins:
         return self.capacity - residual
 
 
-def pack_block(sizes: list[int], sources: list[str | None], clusters: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def pack_block(sizes: list[int], sources: list[str | None], clusters: list[int | None], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(row, part, words, bin, start) of one block, longest remainders first. A longer document fills bins of its own and its rest is packed."""
     bit: dict[str | None, int] = {}
     for s in sources:
         bit.setdefault(s, 1 << len(bit))
     seen, twice = set(), {}
     for c in clusters:
-        if c in seen:
+        if c is not None and c in seen:
             twice.setdefault(c, 1 << len(twice))
         seen.add(c)
     bins, out = Bins(capacity), []
@@ -76,34 +74,38 @@ def pack_block(sizes: list[int], sources: list[str | None], clusters: list[int],
     return out
 
 
-def pack(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", capacity: int = CAPACITY, block: int = BLOCK, cluster: str | None = None) -> DataFrame:
     """(doc_id, part, n_words, source, cluster, bin_id, start): where each part of each document stands in the packed sequences.
 
-    No bin holds more than `capacity` words, two documents of one source, or two of one duplicate cluster (equal texts).
-    A document of more words than that fills whole bins with its first parts. Documents without words have no row. A null
-    source is a source like any other. Repeated rows are documents of one cluster.
+    No bin holds more than `capacity` words, two documents of one source, or two of one duplicate cluster: equal texts, or equal values of the column
+    `cluster` where one is named (a near-duplicate class, say; rows without one are in no cluster).
+    A document of more words than that fills whole bins with its first parts. Documents without words, null texts among them, have no row. A null
+    source is a source like any other, ids may have any type and be null. Repeated rows are documents of one cluster.
 
     Documents are dealt by a hash of id and text to blocks of about `block`, whatever their source or cluster; each block is packed on its own, so
-    that memory stays bounded. A block sees conflicts only inside its own bins, and no bin spans blocks.
+    that memory stays bounded. A block sees conflicts only inside its own bins, and no bin spans blocks. Ties in size are placed in the order of the deal.
     """
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.col(text)).alias("cluster"), size_of(F.col(text)).alias("n_words")).where("n_words > 0")
+    own = F.xxhash64(F.col(text)) if cluster is None else F.when(F.col(cluster).isNotNull(), F.xxhash64(F.col(cluster)))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("cluster"), F.xxhash64(F.col(doc_id), F.col(text)).alias("deal"), size_of(F.col(text)).alias("n_words")).where("n_words > 0")
     parts = max(1, -(-docs.count() // block))
-    dealt = narrow.withColumn("_deal", F.xxhash64("doc_id", "cluster")).repartition(parts, "_deal").sortWithinPartitions("_deal", "doc_id", "source", "n_words").withColumn("_part", F.spark_partition_id())
+    dealt = narrow.repartition(parts, "deal").sortWithinPartitions("deal", "source", "n_words").withColumn("place", F.spark_partition_id())
+    kind = dict(narrow.dtypes)["doc_id"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for rows in _blocks(batches, block):
-            ids, names, clusters, sizes = (rows.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "n_words"))
+            names, clusters, sizes = (rows.column(c).to_pylist() for c in ("source", "cluster", "n_words"))
             done = pack_block(sizes, names, clusters, capacity)
-            base = (rows.column("_part")[0].as_py() << 40) + (number << 20)
+            base = (rows.column("place")[0].as_py() << 40) + (number << 20)
             number += 1
-            at = [x[0] for x in done]
+            at = pa.array([x[0] for x in done], pa.int64())
+            ids = rows.column("doc_id").combine_chunks().take(at)
             yield pa.record_batch([
-                pa.array([ids[k] for k in at], pa.int64()), pa.array([x[1] for x in done], pa.int32()), pa.array([x[2] for x in done], pa.int64()), pa.array([names[k] for k in at], pa.string()),
-                pa.array([clusters[k] for k in at], pa.int64()), pa.array([base + x[3] for x in done], pa.int64()), pa.array([x[4] for x in done], pa.int64()),
+                ids, pa.array([x[1] for x in done], pa.int32()), pa.array([x[2] for x in done], pa.int64()), pa.array([names[x[0]] for x in done], pa.string()),
+                pa.array([clusters[x[0]] for x in done], pa.int64()), pa.array([base + x[3] for x in done], pa.int64()), pa.array([x[4] for x in done], pa.int64()),
             ], names=["doc_id", "part", "n_words", "source", "cluster", "bin_id", "start"])
 
-    return dealt.mapInArrow(packed, _OUT)
+    return dealt.mapInArrow(packed, f"doc_id {kind}, part int, n_words bigint, source string, cluster bigint, bin_id bigint, start bigint")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Table]:

@@ -121,27 +121,80 @@ def _forward(raw: np.ndarray, pieces: Pieces, kept: list | None = None) -> np.nd
     return alpha
 
 
+#: Words from this length on are taken one by one, all their positions at once.
+LONG = 512
+
+
+def _lattice(word: bytes, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, piece) of all vocabulary pieces in one word, by start."""
+    raw = np.frombuffer(b" " + word, np.uint8)
+    step, ends = pieces.trie
+    at = np.arange(len(raw))
+    node, out = np.zeros(len(raw), np.int32), []
+    for k in range(len(raw)):
+        # all starts go one byte deeper at a time, until no piece is long enough
+        inside = (at + k < len(raw)) & (node < len(step))
+        at, node = at[inside], node[inside]
+        node = step[node, raw[at + k]]
+        at, node = at[node >= 0], node[node >= 0]
+        if not len(at):
+            break
+        found = ends[node] >= 0
+        out.append(np.column_stack([at[found], at[found] + k + 1, ends[node[found]]]))
+    edges = np.concatenate(out)
+    return tuple(edges[np.lexsort((edges[:, 1], edges[:, 0]))].T)
+
+
+def _chain(n: int, tail: np.ndarray, head: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """The log sum over all paths of edges tail -> head (sorted by tail) to each of n + 1 places from place 0."""
+    sums, scale = [0.0] * (n + 1), [-math.inf] * (n + 1)
+    sums[0], scale[0] = 1.0, 0.0
+    # the sums stay near 1: each place holds a factor and its logarithmic scale
+    for i, j, p in zip(tail.tolist(), head.tolist(), logp.tolist(), strict=True):
+        if not sums[i]:
+            continue
+        x = scale[i] + math.log(sums[i]) + p
+        if x <= scale[j]:
+            sums[j] += math.exp(x - scale[j])
+        else:
+            sums[j] = sums[j] * math.exp(scale[j] - x) + 1.0 if sums[j] else 1.0
+            scale[j] = x
+    return np.array(scale) + np.log(np.maximum(sums, 1e-300))
+
+
 def log_marginals(words: list[bytes], pieces: Pieces) -> np.ndarray:
     """The natural log of each word's probability, summed over all its segmentations by a forward recursion in log space."""
     out = np.zeros(len(words))
-    for at, raw in _same_length(words):
-        out[at] = _forward(raw, pieces)[-1]
+    short = [k for k, w in enumerate(words) if len(w) < LONG]
+    for at, raw in _same_length([words[k] for k in short]):
+        out[np.array(short)[at]] = _forward(raw, pieces)[-1]
+    for k in (k for k, w in enumerate(words) if len(w) >= LONG):
+        i, j, piece = _lattice(words[k], pieces)
+        out[k] = _chain(len(words[k]) + 1, i, j, pieces.logp[piece])[-1]
     return out
 
 
 def expected_pieces(words: list[bytes], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
     """How often each piece is expected in `counts` of each word, over all segmentations."""
     out = np.zeros(len(pieces.names))
-    for at, raw in _same_length(words):
+    short = [k for k, w in enumerate(words) if len(w) < LONG]
+    for at, raw in _same_length([words[k] for k in short]):
         kept: list = []
         alpha = _forward(raw, pieces, kept)
         beta = np.full_like(alpha, -np.inf)
         beta[-1] = 0
         for i, j, rows, piece in reversed(kept):
             beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + pieces.logp[piece])
-        n = counts[at]
+        n = counts[np.array(short)[at]]
         for i, j, rows, piece in kept:
             np.add.at(out, piece, n[rows] * np.exp(alpha[i, rows] + pieces.logp[piece] + beta[j, rows] - alpha[-1, rows]))
+    for k in (k for k, w in enumerate(words) if len(w) >= LONG):
+        i, j, piece = _lattice(words[k], pieces)
+        n, logp = len(words[k]) + 1, pieces.logp[piece]
+        alpha = _chain(n, i, j, logp)
+        back = np.lexsort((-i, -j))
+        beta = _chain(n, n - j[back], n - i[back], logp[back])[::-1]
+        np.add.at(out, piece, counts[k] * np.exp(alpha[i] + logp + beta[j] - alpha[-1]))
     return out
 
 

@@ -9,27 +9,30 @@ from dirlake.llm.common import documents, work_table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the stage's own input, takes for good."""
+    """Documents that the quality classifier, fitted on the stage's own input, takes for good.
+
+    Rows stay or go one by one: null and empty texts by the features of an empty text, ties at 0.5 stay, and all rows where labels of both classes are missing.
+    """
     return quality_qda.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules, row by row; null and empty texts go, and so does anything under ten words."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One row of each near-duplicate class, the first by id, null ids last. Repeated rows are one class; texts without words all stay."""
     return bagminhash.keep_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of the mix; texts without words are not taken, a null source is one of its own."""
     return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each part of each document stands in the packed sequences."""
+    """Where each part of each document stands in the packed sequences; repeated rows never share one, and texts without words have no place."""
     return packing.pack(docs)
 
 

@@ -18,7 +18,7 @@ def odd(spark):
     rows += [(24, prose(5) + " " + "é東" * 30, None, "a", 1), (25, "\n".join(["same line here again and again"] * 40), "en", "a", 1), (26, " ".join(f"w{i}" for i in range(30_000)), "en", "b", 1), (27, "x" * 50_000, "en", "c", 1)]
     rows += [(30, prose(30), "en", "a", 1)] * 3 + [(31, prose(30), "fr", "b", 1), (30, prose(31), "en", "a", 1), (32, "### $$$ %%% " * 60, "en", "c", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for name in ("size", "taken", "score", "kept", "n", "h", "rep", "key", "bands", "s", "comp", "target", "label", "word", "c", "row", "train", "id", "ref", "last"):
+    for name in ("size", "taken", "score", "kept", "n", "h", "rep", "key", "bands", "s", "comp", "target", "label", "word", "c", "row", "train", "id", "ref", "last", "own", "x", "y", "d", "q", "p", "u", "pass", "finish", "deal", "times", "cluster", "held_out", "predicted", "_s", "_d", "_q", "_u", "_h", "_p", "_id", "_copy", "_host", "_row", "_x", "_y"):
         df = df.withColumn(name, F.lit(name))
     return df.repartition(3)
 

@@ -93,7 +93,9 @@ def remove_object_classes(attrs: Column, unwanted: Sequence[str]) -> Column:
 
 def _map_values(attrs: Column, change) -> Column:  # noqa: ANN001
     """Each attribute with `change(lower name, value text)` for its values; raw forms of changed values go."""
-    one = lambda a: F.transform(a["values"], lambda v: F.struct(change(F.lower(a["name"]), v["value"]).alias("value"), v["origin"].alias("origin"), F.when(change(F.lower(a["name"]), v["value"]).eqNullSafe(v["value"]), v["raw"]).alias("raw")).cast(VALUE))
+    # what changes is written once, since the expression may be long
+    both = lambda a: F.transform(a["values"], lambda v: F.struct(change(F.lower(a["name"]), v["value"]).alias("new"), v.alias("old")))
+    one = lambda a: F.transform(both(a), lambda p: F.struct(p["new"].alias("value"), p["old"]["origin"].alias("origin"), F.when(p["new"].eqNullSafe(p["old"]["value"]), p["old"]["raw"]).alias("raw")).cast(VALUE))
     return F.transform(attrs, lambda a: F.struct(a["name"].alias("name"), one(a).alias("values")))
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dirlake.llm.common import pieces, work_table
+from dirlake.llm.common import packed, pieces, scratch, work_table
 from dirlake.llm.graph import components
 from dirlake.llm.textstats import Texts, mix, windows
 
@@ -181,36 +181,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     Links join texts whose word sequences are equal or whose weighted Jaccard similarity over five-word shingles
     is 0.8 or more. Repeated rows, and ids on several rows, are judged row by row. Null and empty texts link with nothing
-    and are classes of their own id. Null ids come last in a class; a class of null ids alone has a null id.
+    and are classes of their own id. Null ids come last in a class; a class of null ids alone has a null id. Ids may have any type that has an order.
 
     Texts with equal words are one candidate. In each bucket of a band, all candidates are first compared with the most
     central one, the one whose buckets are fullest; that settles large groups of near copies without pairing them up. Where a bucket then still
     holds several components, its candidates of different components are compared with each other, unless exact bounds rule a link
     out (see _able and _crossing). So the result is that of comparing all pairs of a bucket.
     """
-    rows = _numbered(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text")
-    placed = _placed(rows, "text", "doc")
-    out = rows.where("bands is not null").select(F.col("own.doc").alias("doc"), "rep").join(placed.select("rep", F.col("first.doc").alias("class_id")), "rep").select("doc", "class_id")
-    out = out.union(rows.where("bands is null").select(F.col("own.doc").alias("doc"), F.col("own.doc").alias("class_id")))
-    return out.select(F.col("doc").alias(doc_id), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"))
+    with scratch():
+        rows = _numbered(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text")
+        placed = _placed(rows, "text", "doc")
+        out = rows.where("bands is not null").select(F.col("own.doc").alias("doc"), "one", "two").join(placed.select("one", "two", F.col("first.doc").alias("class_id")), ["one", "two"]).select("doc", "class_id")
+        out = out.union(rows.where("bands is null").select(F.col("own.doc").alias("doc"), F.col("own.doc").alias("class_id")))
+        return work_table(out.select(F.col("doc").alias(doc_id), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept")), keep=True)
 
 
-def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    """Work table (row, own, n_words, one, two, bands, rep): each row of `docs` as a struct, its key `row`, and what describes its text."""
-    return work_table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("own"), describe(F.col(text)).alias("s")).select("row", "own", "s.*").withColumn("rep", F.xxhash64("one", "two")))
+def _numbered(docs: DataFrame, text: str, keep: bool = False) -> DataFrame:
+    """Work table (row, own, n_words, one, two, bands): each row of `docs` as a struct, its key `row`, and what describes its text."""
+    return work_table(docs.select(F.monotonically_increasing_id().alias("row"), packed(docs).alias("own"), describe(F.col(text)).alias("s")).select("row", "own", "s.*"), keep)
 
 
 def _placed(rows: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(rep, comp, first): the component of each word sequence in `rows`, and its first row, struct (none, doc, row): by id, null ids last, then by key."""
+    """(one, two, comp, first): the component of each word sequence in `rows`, known by its 128 bits, and its first row, struct (none, doc, row): by id, null ids last, then by key.
+
+    Inside, a sequence goes by the key `rep` of one of its rows.
+    """
     by = F.struct(F.col("own")[doc_id].isNull().alias("none"), F.col("own")[doc_id].alias("doc"), "row")
-    reps = work_table(rows.where("bands is not null").groupBy("rep").agg(F.min(by).alias("least"), F.first(F.struct("n_words", "bands")).alias("s")).select("rep", "least", "s.*"))
+    reps = work_table(rows.where("bands is not null").groupBy("one", "two").agg(F.min(by).alias("least"), F.first(F.struct("n_words", "bands")).alias("s")).select("one", "two", F.col("least.row").alias("rep"), "least", "s.*"))
     band = reps.select("rep", "n_words", F.posexplode("bands").alias("band", "value"))
     full = work_table(band.join(band.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1"), ["band", "value"]))
     crowd = full.join(full.groupBy("rep").agg(F.sum("members").alias("crowd")), "rep")
     hubs = crowd.groupBy("band", "value").agg(F.max(F.struct("crowd", "rep", "n_words")).alias("hub"))
     near = full.join(hubs, ["band", "value"]).where((F.col("rep") != F.col("hub.rep")) & _close("n_words", "hub.n_words"))
     first = work_table(near.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    texts = _texts(rows, text, full.select("rep").distinct().join(reps, "rep").select("rep", "least.row"))
+    texts = _texts(rows, text, full.select("rep", F.col("rep").alias("row")).distinct())
     links = work_table(verified(first, texts))
     found = components(links)
     members = _mixed(full.drop("members"), found)
@@ -227,8 +231,8 @@ def _placed(rows: DataFrame, text: str, doc_id: str) -> DataFrame:
     rest = rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
     more = work_table(verified(rest, texts))
     final = found if more.isEmpty() else components(links.union(more))
-    placed = reps.select("rep", "least").join(final, F.col("rep") == F.col("node"), "left").select("rep", "least", F.coalesce("component", "rep").alias("comp"))
-    return placed.join(placed.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("rep", "comp", "first")
+    placed = reps.select("one", "two", "rep", "least").join(final, F.col("rep") == F.col("node"), "left").select("one", "two", "least", F.coalesce("component", "rep").alias("comp"))
+    return placed.join(placed.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("one", "two", "comp", "first")
 
 
 def _bound(shared: str, others: str, total: str, all_others: str) -> Column:
@@ -325,6 +329,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each class, whatever its rows' ids: the first by id, null ids last. Documents without words all stay."""
-    rows = _numbered(docs, "text")
-    first = _placed(rows, "text", "doc_id").select("first.row").distinct()
+    with scratch():
+        rows = _numbered(docs, "text", keep=True)
+        first = work_table(_placed(rows, "text", "doc_id").select("first.row").distinct(), keep=True)
     return rows.where("bands is not null").join(first, "row", "left_semi").select("own.*").union(rows.where("bands is null").select("own.*"))

@@ -18,20 +18,19 @@ from dirlake.storage import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_SCOPES: list[list[str]] = []
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Work tables written inside go at the end, but for those that are kept: what leaves the block is one of these."""
-    paths: list[str] = []
+    paths: list[tuple[SparkSession, str]] = []
     _SCOPES.append(paths)
     try:
         yield
     finally:
         _SCOPES.pop()
-        spark = SparkSession.getActiveSession()
-        for path in paths:
+        for spark, path in paths:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
@@ -46,7 +45,7 @@ def work_table(df: DataFrame, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     scopes = _SCOPES[:-1] if keep else _SCOPES
     if scopes:
-        scopes[-1].append(path)
+        scopes[-1].append((spark, path))
     else:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlake.llm.common import fold, packed, pieces, work_table
+from dirlake.llm.common import fold, packed, pieces, scratch, work_table
 from dirlake.llm.textstats import CLASSES, Texts, class_counts, repeated_lines, repeated_words
 
 FEATURES = ("log_words", "word_length", "lower", "upper", "digit", "stop", "shout", "symbol", "pipe", "bracket_quote_dash", "newline", "wide_latin", "dup_lines", "repeats", "distinct_words", "class_entropy")
@@ -150,5 +150,10 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows and columns of `docs` that the classifier, fitted on these rows, takes for quality 1; ties at 0.5, and all rows without a model, stay."""
-    return classify(docs, labels).where("predicted = 1").select("own.*")
+    """The rows and columns of `docs` that the classifier, fitted on these rows, takes for quality 1; ties at 0.5, and all rows without a model, stay.
+
+    Only features are stored, for the fit; texts are measured again where they pass by, rather than written once more.
+    """
+    with scratch():
+        model = fit(measured(docs, columns=[]), labels)
+    return docs.select(packed(docs).alias("own"), score(features(F.col("text")), model).alias("score")).where("score >= 0.5").select("own.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlake.llm.common import packed, pieces, work_table
+from dirlake.llm.common import packed, pieces, scratch, work_table
 from dirlake.llm.textstats import CLASSES, Texts, class_counts, repeated_lines, repeated_words, symbol_counts, word_chars
 
 #: Common words whose shares make up the word histogram; one more bin holds all other words.
@@ -154,13 +154,28 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", max_char: flo
     count. Repeated rows are judged one by one, alike. Of references at one distance the first by name is reported. Every language has a reference; `most` of them are scored at once.
     """
     out = _near(measured(docs, text, lang, columns), refs, most)
-    s, char, word = F.col("s"), F.coalesce(F.col("d.char_jsd"), F.lit(0.0)), F.coalesce(F.col("d.word_jsd"), F.lit(0.0))
+    limits = {"max_char": max_char, "max_word": max_word, "far_char": far_char, "min_chars": min_chars, "min_words": min_words}
+    return out.select("own", verdict(F.col("s"), F.col("d"), **limits).alias("q"))
+
+
+def verdict(s: Column, d: Column, max_char: float = 0.21, max_word: float = 0.27, far_char: float = 0.35, min_chars: int = 250, min_words: int = 40) -> Column:
+    """The struct `q` of `judge` from a text's statistics and its divergence."""
+    char, word = F.coalesce(d["char_jsd"], F.lit(0.0)), F.coalesce(d["word_jsd"], F.lit(0.0))
     failed = (s.n_words < 10) | (100 * s.n_repeat_words > 20 * s.n_words)
     far = (s.word_chars >= min_chars) & (((s.n_words >= min_words) & (char > max_char) & (word > max_word)) | (char > far_char))
-    q = F.struct(*(s[f].alias(f) for f in _BASE_FIELDS), failed.alias("base_failed"), F.col("d.ref").alias("ref"), char.alias("char_jsd"), word.alias("word_jsd"), (~failed & ~far).alias("kept"))
-    return out.select("own", q.alias("q"))
+    return F.struct(*(s[f].alias(f) for f in _BASE_FIELDS), failed.alias("base_failed"), d["ref"].alias("ref"), char.alias("char_jsd"), word.alias("word_jsd"), (~failed & ~far).alias("kept"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows and columns of `docs` that the rules keep, repeated rows as often as they come; null and empty texts go."""
-    return judge(docs).where("q.kept").select("own.*")
+def keep_good(docs: DataFrame, most: int = BLOCK) -> DataFrame:
+    """The rows and columns of `docs` that the rules keep, repeated rows as often as they come; null and empty texts go.
+
+    Only statistics are stored, for the references. With one block of languages texts are measured again where they pass by, rather than written once more.
+    """
+    with scratch():
+        parts = blocks(language_histograms(measured(docs, columns=[])), most)
+        first, more = next(parts, {}), next(parts, None)
+    if more is not None:
+        return judge(docs, most=most).where("q.kept").select("own.*")
+    stats = docs.select(packed(docs).alias("own"), text_stats(F.col("text")).alias("s"))
+    near = stats.select("own", "s", divergence(F.col("s"), first).alias("d"))
+    return near.where(verdict(F.col("s"), F.col("d"))["kept"]).select("own.*")

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and `pipeline`, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 and `pipeline`, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dirlake.llm import bagminhash, chat, embed_neardup, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
+from dirlake.llm import bagminhash, chat, embed_neardup, fingerprints, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
 from dirlake.llm.common import documents
 
 
@@ -54,6 +54,17 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(documents(spark, sf_dir))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fingerprints.with_next(documents(spark, sf_dir)).withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
+    d = fingerprints.fingerprints(d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "edited", F.col("sketch").alias("own"), "next_sketch"), "edited")
+    own, other = F.col("own"), F.col("sketch")
+    return d.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprints.printed(own).alias("fingerprint"), F.col("fingerprint").alias("edited_fingerprint"),
+        fingerprints.resemblance(own, other).alias("near_edited"), fingerprints.resemblance(own, F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_shingles(own).alias("n_shingles"),
+    )
+
+
 OP1_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM t),
@@ -126,7 +137,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm, op13_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

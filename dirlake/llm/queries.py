@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dirlake.llm import bagminhash, chat, embed_neardup, fingerprints, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
+from dirlake.llm import bagminhash, chat, embed_neardup, fingerprints, hard_negatives, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
 from dirlake.llm.common import documents
 
 
@@ -54,6 +54,13 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = e.select("vec_id", label.alias("label"), hard_negatives.quantised(F.col("embedding")).alias("v"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprints.with_next(documents(spark, sf_dir)).withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
     d = fingerprints.fingerprints(d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "edited", F.col("sketch").alias("own"), "next_sketch"), "edited")
@@ -120,6 +127,17 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 """
 
 
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0),
+s AS (SELECT DISTINCT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+    FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
+"""
+
 OP8_SQL = """
 WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS (SELECT * FROM e WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0),
@@ -137,8 +155,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm, op13_fingerprints, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm, op11_hard_negatives, op13_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL, "op8_embedding_neardup": OP8_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL, "op8_embedding_neardup": OP8_SQL, "op11_hard_negatives": OP11_SQL}

@@ -106,8 +106,8 @@ def skew_join(rows: DataFrame, side: DataFrame, keys: Sequence[str], n: str, mos
     return rows.join(hot, list(keys)).unionByName(rest.join(side.where(~bound), list(keys)))
 
 
-def running_sums(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str], parts: int | None = None) -> DataFrame:
-    """`df` with `<value>_before` columns: sums of `values` over the rows of the same key that stand earlier in `order`.
+def running_sums(df: DataFrame, key: str, order: Sequence[str], values: Sequence[str], parts: int | None = None, upto: bool = False) -> DataFrame:
+    """`df` with `<value>_before` columns: sums of `values` over the rows of the same key that stand earlier in `order`, and with `upto` `<value>_upto` columns, the row's own value included.
 
     The sums wrap around at 64 bits. `key` is a non-null column. Rows are range-sorted by key and order, so
     that a key of any size spreads over many tasks. The sorted rows are checkpointed, each partition reports one
@@ -170,10 +170,14 @@ def running_sums(df: DataFrame, key: str, order: Sequence[str], values: Sequence
                     before += np.repeat(base, lengths)
                     sums[j] = before[-1] + x[-1]
                 out.append(pa.array(before, pa.int64()))
+                if upto:
+                    with np.errstate(over="ignore"):
+                        out.append(pa.array(before + x, pa.int64()))
             current = keys[-1].as_py()
-            yield pa.record_batch([*batch.columns, *out], names=[*batch.schema.names, *(f"{v}_before" for v in names)])
+            yield pa.record_batch([*batch.columns, *out], names=[*batch.schema.names, *sums_of])
 
-    return placed.mapInArrow(add, fields + "".join(f", `{v}_before` bigint" for v in names)).drop("_part")
+    sums_of = [f"{v}_{what}" for v in names for what in (("before", "upto") if upto else ("before",))]
+    return placed.mapInArrow(add, fields + "".join(f", `{v}` bigint" for v in sums_of)).drop("_part")
 
 
 def _wrap(x: int) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dirlake.llm import bagminhash, chat, embed_neardup, fingerprints, hard_negatives, langid, lattice_lm, mixing, packing, quality_qda, quality_rules, url_rules
+from dirlake.llm import bagminhash, chat, embed_neardup, fingerprints, hard_negatives, langid, lattice_lm, mixing, packing, prefix_trie, quality_qda, quality_rules, url_rules
 from dirlake.llm.common import documents
 
 
@@ -61,6 +61,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.ranked(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = fingerprints.with_next(documents(spark, sf_dir)).withColumn("edited", fingerprints.edited(F.col("text"), F.col("next_text")))
     d = fingerprints.fingerprints(d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "edited", F.col("sketch").alias("own"), "next_sketch"), "edited")
@@ -138,6 +142,22 @@ n AS (SELECT p.a, p.b AS p, p.score AS ps, s.b AS n, s.score AS ns, row_number()
 SELECT a AS anchor_id, p AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
 """
 
+OP12_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id FROM t),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295::BIGINT) % 6 AS h FROM c),
+r AS (SELECT h.conv_id, t.n, 0 AS own, role, text FROM h JOIN t ON t.conv_id = h.base AND t.n <= h.h UNION ALL SELECT h.conv_id, t.n, 1, role, text FROM h JOIN t ON t.conv_id = h.conv_id AND t.n > h.h),
+p AS (SELECT c.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY own, n) FILTER (WHERE n IS NOT NULL), []) AS path FROM c LEFT JOIN r ON c.conv_id = r.conv_id GROUP BY c.conv_id),
+o AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM p),
+v AS (SELECT list_slice(path, 1, depth) AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = depth), '') AS ends FROM o GROUP BY ALL),
+k AS (SELECT v.*, (SELECT count(*) FROM v w WHERE w.depth = v.depth + 1 AND list_slice(w.prefix, 1, v.depth) = v.prefix) AS n_children FROM v),
+s AS (SELECT a.prefix, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * coalesce(length(b.prefix[b.depth].text), 0)) AS saved_tokens
+    FROM k a JOIN k b ON b.depth >= a.depth AND list_slice(b.prefix, 1, a.depth) = a.prefix GROUP BY a.prefix)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN s ON k.prefix = s.prefix LEFT JOIN v u ON u.depth = k.depth - 1 AND u.prefix = list_slice(k.prefix, 1, k.depth - 1)
+"""
+
 OP8_SQL = """
 WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 ok AS (SELECT * FROM e WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(e, lambda v: v <> 0)) > 0),
@@ -155,8 +175,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm, op11_hard_negatives, op13_fingerprints, pipeline)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_quality_rules, op4_bag_minhash, op5_mixing, op6_packing, op7_quality_classifier, op8_embedding_neardup, op9_language_id, op10_lattice_lm, op11_hard_negatives, op12_prefix_trie, op13_fingerprints, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL, "op8_embedding_neardup": OP8_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_url_filters": OP2_SQL, "op5_mixing": OP5_SQL, "op8_embedding_neardup": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}

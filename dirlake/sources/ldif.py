@@ -1,12 +1,12 @@
 """LDIF as a source and a sink.
 
-Files are split at blank lines by Spark's own text reader, so that one file of any size is read by many tasks. Each record is cut into
-its entry once, by a function over whole Arrow columns; all that follows is column expressions.
+Each record is cut into its entry once, by a function over whole Arrow columns; all that follows is column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -18,6 +18,8 @@ from dirlake.functions import records as R
 from dirlake.functions import text as T
 from dirlake.functions.dn import strip
 from dirlake.model import ATTRS, CONTROLS, OPS
+from dirlake.sources import ldif_source as source
+from dirlake.storage import stored
 
 #: Fixed value: the first line of a file with a version.
 VERSION = "version: 1"
@@ -51,48 +53,42 @@ def parse_text(df: DataFrame, text: str = "text") -> DataFrame:
     return parse(df.select(*(c for c in df.columns if c != text), F.posexplode(records(F.coalesce(F.col(text), F.lit("")))).alias("record_no", "record")))
 
 
-def _crlf_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The files that have carriage returns at line ends of their first split."""
-    lines = spark.read.text(paths, lineSep="\n").where((F.col("_metadata.file_block_start") == 0) & F.col("value").endswith("\r"))
-    return [r.file for r in lines.select(F.col("_metadata.file_path").alias("file")).distinct().collect()]
-
-
 def read_ldif(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", crlf: bool | None = None, number: bool = False) -> DataFrame:
-    """The entries of all files of a path or glob, with `source` and `record_no`, which orders the records of one reading.
+    """The entries of all files of a path, folder or pattern, with `source` and `record_no`, which orders the records of a file.
 
-    Files split at their blank lines, whichever line end they use: `crlf` tells it for all files; where None, a pass over the lines tells it for each.
-    `number` makes `record_no` count from 0 within each file, for one more pass over the files. A path without files raises FileNotFoundError.
+    The data source of `dirlake.sources.ldif_source` reads each byte once and takes either line end. Stores that it cannot reach, and calls that tell
+    `crlf`, are read by Spark's text reader, which splits at the blank lines of that line end (LF, if not told) and has a file with the other one in one task.
+    `number` makes `record_no` count from 0 within each file; the entries are stored for that. A path without files raises FileNotFoundError.
     """
-    try:
-        paths = [path] if isinstance(path, str) else list(path)
-        kinds = {crlf: paths}
-        if crlf is None:
-            ended = _crlf_files(spark, paths)
-            kinds = {False: paths} if not ended else {True: ended, False: paths}
-        parts = []
-        for kind, own in kinds.items():
-            text = spark.read.option("encoding", encoding).text(own, lineSep="\r\n\r\n" if kind else "\n\n")
-            text = text.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), "value")
-            if len(kinds) == 2 and not kind:
-                text = text.where(~F.col("source").isin(ended))
-            parts.append(text)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(str(path)) from e
-        raise
-    blocks = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    each = blocks.select("source", "start", F.explode(records(F.col("value"))).alias("record")).withColumn("record_no", F.monotonically_increasing_id())
-    return parse((_numbered(each) if number else each).drop("start"))
-
-
-def _numbered(each: DataFrame) -> DataFrame:
-    """`record_no` from 0 within each source: its splits are counted, and each record's place in its split is added to what earlier splits hold."""
-    splits = each.groupBy("source", "start").agg(F.min("record_no").alias("first"), F.count("*").alias("n"))
-    # a source has one row for each split here
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = splits.select(F.col("source").alias("s"), F.col("start").alias("b"), "first", earlier.alias("earlier"))
-    joined = each.join(placed, (F.col("source") == F.col("s")) & (F.col("start") == F.col("b")))
-    return joined.withColumn("record_no", F.col("record_no") - F.col("first") + F.col("earlier")).drop("s", "b", "first", "earlier")
+    paths = [path] if isinstance(path, str) else list(path)
+    if crlf is None and all(map(source.reaches, paths)):
+        source.register(spark)
+        for p in paths:
+            system, inner, _ = source.place(p)
+            if not source.files(system, inner):
+                raise FileNotFoundError(p)
+        parts = [spark.read.format("ldif").option("encoding", encoding).load(p) for p in paths]
+        found = reduce(DataFrame.unionByName, parts)
+    else:
+        try:
+            text = spark.read.option("encoding", encoding).text(paths, lineSep="\r\n\r\n" if crlf else "\n\n")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(str(path)) from e
+            raise
+        each = text.select(F.col("_metadata.file_path").alias("source"), F.explode(records(F.col("value"))).alias("record"))
+        found = parse(each.withColumn("record_no", F.monotonically_increasing_id()))
+    return numbered(found) if number else found
+
+
+def numbered(entries: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Entries with `record_no` counted from 0 within each source. Blocks of the ordering numbers are counted, and each record's rank in its block is added to what earlier blocks of its file hold, so that no task ranks a whole file."""
+    kept = stored(entries.withColumn("_block", F.floor(F.col("record_no") / block)))
+    counts = kept.groupBy("source", "_block").agg(F.count("*").alias("n"))
+    # a source has one row for each block here
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "_block").orderBy("record_no")) - 1)
+    return ranked.join(counts.select("source", "_block", earlier.alias("_earlier")), ["source", "_block"]).withColumn("record_no", F.col("_rank") + F.col("_earlier")).select(*entries.columns)
 
 
 def read_ldif_stream(spark: SparkSession, path: str, crlf: bool = False) -> DataFrame:

@@ -95,6 +95,17 @@ def parse_acl(line: Column, dialect: str) -> Column:
     return F.when(line.isNotNull(), _PARSERS.get(dialect, _aci)(line))
 
 
+def parse_acl_by(line: Column, dialect: Column) -> Column:
+    """A rule as `parse_acl` reads it, with the dialect in a column; one that is not known is read as an ACI."""
+    parsers: dict = {}
+    for name, parser in _PARSERS.items():
+        parsers.setdefault(parser, []).append(name)
+    out = F.when(line.isNull(), None)
+    for parser, names in parsers.items():
+        out = out.when(dialect.isin(*names), parser(line))
+    return out.otherwise(_aci(line))
+
+
 def write_acl(a: Column, dialect: str) -> Column:
     """A rule of that shape in a dialect's own words."""
     perms = a["permissions"]

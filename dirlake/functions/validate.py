@@ -96,18 +96,20 @@ def rfc_violations(dn: Column, attrs: Column, changetype: Column) -> Column:
     )
 
 
+def requirements(dn: Column, attrs: Column) -> dict[str, Column]:
+    """What each rule that a server may ask for finds."""
+    naming = _naming(dn)
+    bad = F.filter(attrs, lambda a: ~F.lower(a["name"]).contains(";binary") & F.exists(a["values"], lambda v: v["value"].rlike(r"[^\x20-\x7E]")))
+    return {
+        "binary": F.transform(bad, lambda a: F.concat(F.lit("Server requires ';binary' option for '"), a["name"], F.lit("'"))),
+        "naming": _if(naming.isNotNull() & (F.size(attrs) > 0) & ~F.array_contains(A.lower_names(attrs), naming), F.concat(F.lit("Server requires naming attribute '"), naming, F.lit("'"))),
+        "objectclass": _if(~A.has_any(attrs, ["objectClass"]) & ~_schema_dn(dn), F.lit("Server requires objectClass attribute")),
+    }
+
+
 def server_violations(dn: Column, attrs: Column, dialect: str) -> Column:
     """What the dialect's own rules find."""
-    rules = D.RULES.get(dialect, ())
-    naming = _naming(dn)
-    out = []
-    if "binary" in rules:
-        bad = F.filter(attrs, lambda a: ~F.lower(a["name"]).contains(";binary") & F.exists(a["values"], lambda v: v["value"].rlike(r"[^\x20-\x7E]")))
-        out.append(F.transform(bad, lambda a: F.concat(F.lit("Server requires ';binary' option for '"), a["name"], F.lit("'"))))
-    if "naming" in rules:
-        out.append(_if(naming.isNotNull() & (F.size(attrs) > 0) & ~F.array_contains(A.lower_names(attrs), naming), F.concat(F.lit("Server requires naming attribute '"), naming, F.lit("'"))))
-    if "objectclass" in rules:
-        out.append(_if(~A.has_any(attrs, ["objectClass"]) & ~_schema_dn(dn), F.lit("Server requires objectClass attribute")))
+    out = [found for rule, found in requirements(dn, attrs).items() if rule in D.RULES.get(dialect, ())]
     return F.concat(*out) if out else _none()
 
 

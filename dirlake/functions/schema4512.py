@@ -38,9 +38,19 @@ def attribute_type(definition: Column) -> Column:
     )
 
 
+def _listed(definition: Column, word: str) -> Column:
+    """The names behind a keyword, one or several in brackets."""
+    return _list(F.coalesce(_part(definition, rf"{word}\s+\(\s*([^)]+)\)"), _part(definition, rf"{word}\s+'?(\w+)'?")))
+
+
+def superiors(definition: Column) -> Column:
+    """All superiors of an object class."""
+    return _listed(definition, "SUP")
+
+
 def object_class(definition: Column) -> Column:
     """A struct of the fields of an object class. Without a kind it is STRUCTURAL; of several superiors the first counts."""
-    listed = lambda word: _list(F.coalesce(_part(definition, rf"{word}\s+\(\s*([^)]+)\)"), _part(definition, rf"{word}\s+'?(\w+)'?")))
+    listed = lambda word: _listed(definition, word)
     return F.struct(
         oid_of(definition).alias("oid"), _part(definition, r"(?i)NAME\s+\(?\s*'([^']+)'").alias("name"), _part(definition, r"DESC\s+'([^']+)'").alias("desc"), F.get(listed("SUP"), F.lit(0)).alias("sup"),
         F.coalesce(_part(definition, r"\b(ABSTRACT|STRUCTURAL|AUXILIARY)\b"), F.lit("STRUCTURAL")).alias("kind"), listed("MUST").alias("must"), listed("MAY").alias("may"),

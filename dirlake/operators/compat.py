@@ -12,6 +12,7 @@ from dirlake import dialects as D
 from dirlake.functions import acl
 from dirlake.functions import attrs as A
 from dirlake.functions import dn as N
+from dirlake.functions import lexer4512 as X
 from dirlake.functions import schema4512 as S
 from dirlake.model import ATTRS
 from dirlake.operators import entries as E
@@ -25,10 +26,15 @@ def relaxed(df: DataFrame) -> DataFrame:
     return df.withColumn("strict_error", F.col("error")).withColumn("error", lenient).withColumn("server_type", F.when(F.col("strict_error").isNull(), "rfc").otherwise("relaxed"))
 
 
+#: The productions of RFC 4512 for numbers and keystrings; lenient readers see dots and underscores in keystrings too.
+NUMBER, KEYSTRING = "[0-9]+", "[A-Za-z][A-Za-z0-9._-]*"
+
+
 def relaxed_oid(definition: Column) -> Column:
-    """The identifier of a definition, however it is written: a number after the bracket, a dotted number anywhere, else any word after the bracket."""
-    word = lambda pattern: F.nullif(F.regexp_extract(definition, pattern, 1), F.lit(""))
-    return F.coalesce(word(r"^\s*\(\s*([0-9]+(?:\.[0-9]+)+)"), word(r"\(\s*([0-9]+(?:\.[0-9]+)*)"), word(r"([0-9]+\.[0-9]+(?:\.[0-9]+)*)"), word(r"\(\s*([a-zA-Z0-9._-]+)"))
+    """The identifier of a definition, however it is written: a number behind a bracket, else a dotted number anywhere, else the word behind the first bracket."""
+    found = lambda pattern, group: F.nullif(F.regexp_extract(definition, pattern, group), F.lit(""))
+    behind = r"\(\s*"
+    return F.coalesce(found(f"{behind}({NUMBER}(?:[.]{NUMBER})*)", 1), found(f"{NUMBER}(?:[.]{NUMBER})+", 0), found(f"{behind}({KEYSTRING})", 1))
 
 
 def schema_entry(dn: Column, attrs: Column, strict: bool = True) -> Column:
@@ -83,16 +89,36 @@ def without_keyword(definition: Column) -> Column:
 
 
 def with_keyword(definition: Column) -> Column:
-    """An attribute type or object class in the order and with the keyword of configuration files."""
+    """An attribute type or object class in the order and with the keyword of configuration files, with all fields that they can hold; `lost_with_keyword` names those that they cannot."""
     quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     some = lambda c, *parts: F.when(c.isNotNull(), F.concat(*parts))
-    a, o = S.attribute_type(definition), S.object_class(definition)
-    listed = lambda word, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{word} ( "), F.array_join(c, " $ "), F.lit(" )")))
-    attribute = F.concat_ws(" ", F.lit("attributetype ("), a["oid"], some(a["name"], F.lit("NAME "), quoted(a["name"])), some(a["desc"], F.lit("DESC "), quoted(a["desc"])), some(a["syntax"], F.lit("SYNTAX "), a["syntax"]), some(a["equality"], F.lit("EQUALITY "), a["equality"]), F.when(a["single_value"], F.lit("SINGLE-VALUE")), F.lit(")"))
-    cls = F.concat_ws(" ", F.lit("objectclass ("), o["oid"], some(o["name"], F.lit("NAME "), quoted(o["name"])), some(o["desc"], F.lit("DESC "), quoted(o["desc"])), some(o["sup"], F.lit("SUP "), o["sup"]), o["kind"], listed("MUST", o["must"]), listed("MAY", o["may"]), F.lit(")"))
+    word = lambda keyword, c: some(c, F.lit(keyword + " "), c)
+    flag = lambda keyword: F.when(_bare(definition).rlike(rf"\b{keyword}\b"), F.lit(keyword))
+    a, o, names = S.attribute_type(definition), S.object_class(definition), S.names_of(definition)
+    listed = lambda keyword, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{keyword} ( "), F.array_join(c, " $ "), F.lit(" )")))
+    named = F.when(F.size(names) > 1, F.concat(F.lit("NAME ( "), F.array_join(F.transform(names, quoted), " "), F.lit(" )"))).otherwise(some(a["name"], F.lit("NAME "), quoted(a["name"])))
+    syntax = some(a["syntax"], F.lit("SYNTAX "), a["syntax"], F.coalesce(F.concat(F.lit("{"), a["length"].cast("string"), F.lit("}")), F.lit("")))
+    desc = some(a["desc"], F.lit("DESC "), quoted(a["desc"]))
+    attribute = F.concat_ws(
+        " ", F.lit("attributetype ("), a["oid"], named, desc, flag("OBSOLETE"), word("SUP", a["sup"]), syntax, word("EQUALITY", a["equality"]), word("ORDERING", a["ordering"]), word("SUBSTR", a["substr"]),
+        flag("SINGLE-VALUE"), flag("COLLECTIVE"), flag("NO-USER-MODIFICATION"), word("USAGE", a["usage"]), F.lit(")"),
+    )
+    above = S.superiors(definition)
+    sup = F.when(F.size(above) > 1, listed("SUP", above)).otherwise(word("SUP", o["sup"]))
+    cls = F.concat_ws(" ", F.lit("objectclass ("), o["oid"], named, desc, flag("OBSOLETE"), sup, o["kind"], listed("MUST", o["must"]), listed("MAY", o["may"]), F.lit(")"))
     return F.when(S.kind_of(definition) == "objectclass", cls).otherwise(attribute)
 
 
+def lost_with_keyword(definition: Column) -> Column:
+    """The fields of a definition that configuration files cannot hold: its extensions, in written order."""
+    return F.transform(extensions(definition), lambda x: x["name"])
+
+
+def _bare(definition: Column) -> Column:
+    """A definition without what stands in quotes."""
+    return F.regexp_replace(definition, r"'[^']*'", "''")
+
+
 def extensions(definition: Column) -> Column:
     """(name, value) of the X- extensions, in written order."""
     found = F.regexp_extract_all(definition, F.lit(r"\b(X-[A-Za-z0-9_-]+\s+'[^']*')"), F.lit(1))
@@ -111,9 +137,21 @@ def formatting(definition: Column) -> Column:
 
 
 def restored(definition: Column, fmt: Column) -> Column:
-    """The original text where the definition says the same, apart from blanks and the quotes of its syntax; else the definition."""
-    bare = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"SYNTAX\s+'([^']*)'", "SYNTAX $1"), r"\s+", ""))
-    return F.when(bare(definition) == bare(fmt["original"]), fmt["original"]).otherwise(definition)
+    """The definition written as its original was: fields that say the same keep their text, quotes, brackets and blanks and all; only what was changed, added or removed differs.
+
+    Values count as they are, in their case and with their blanks. Another OID is put in the place of the original one. Without an original, or for a null, the definition stays as it is.
+    """
+    own = F.struct(definition.alias("definition"), X.lex(definition).alias("lexed"), fmt["original"].alias("original"), X.lex(fmt["original"]).alias("old"))
+
+    def back(x: Column) -> Column:
+        changed = X.splice(x["original"], x["old"], X.differences(x, x["old"]))
+        old, new = x["old"]["oid"], x["lexed"]["oid"]
+        at = F.length(x["old"]["head"]) + F.length(F.regexp_extract(F.substr(changed, F.length(x["old"]["head"]) + 1), r"^\(?\s*", 0))
+        renumbered = F.concat(F.substr(changed, F.lit(1), at), new, F.substr(changed, at + F.length(old) + 1))
+        return F.when(x["old"].isNull() | x["lexed"].isNull(), x["definition"]).otherwise(F.when(F.coalesce(old != new, F.lit(False)), renumbered).otherwise(changed))
+
+    # once for each row, whatever refers to it
+    return F.get(F.transform(F.array(own), back), F.lit(0))
 
 
 def rewrite_definition(definition: Column, rules: Mapping[str, str] = D.RULES_IN, syntaxes: Mapping[str, str] = D.SYNTAXES_IN) -> Column:

@@ -115,7 +115,9 @@ def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", doc_
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     flags = [c.isNull() for c in columns]
-    known = docs.select(F.struct(F.xxhash64(*columns, *flags), F.xxhash64(F.lit(7), *reversed(columns), *flags)).alias("id"), packed(docs).alias("own"))
+    # of the type that the stored keys have: else a join casts it, and shuffles whole rows once more
+    key = F.struct(F.xxhash64(*columns, *flags).alias("col1"), F.xxhash64(F.lit(7), *reversed(columns), *flags).alias("col2")).cast("struct<col1: bigint, col2: bigint>")
+    known = docs.select(key.alias("id"), packed(docs).alias("own"))
     sized, served = packets(known.select("id", F.col("own")[text].alias("text"), F.col("own")[source].alias("source"), F.col("own")[doc_id].alias("doc_id")), tag=["id"], **options)
     whole = served.join(sized.select("row", "id", "size"), "row").where("2 * taken >= size")
     # the narrow queue is dealt by time first: a row that many ids share has a bounded number of times in each deal, and its columns go there once

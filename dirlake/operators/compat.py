@@ -308,11 +308,31 @@ def file_roll_up(df: DataFrame) -> DataFrame:
     return out.withColumn("success_rate", F.round(100.0 * (F.col("entries") - F.col("rejected")) / F.col("entries"), 2))
 
 
+#: Source files whose entries are counted on the way; more of them are counted in what was written, by file.
+MOST_FILES = 1000
+
+
 def migrate_files(spark: SparkSession, source_path: str, target_path: str, source: str, target: str, **options: object) -> DataFrame:
-    """Read LDIF files, migrate them, write a folder of LDIF files for each category, and return the roll-up by file."""
+    """Read LDIF files, migrate them, write a folder of LDIF files for each category, and return the roll-up by file; see `migrate_observed`."""
+    return migrate_observed(spark, source_path, target_path, source, target, **options)[0]
+
+
+def migrate_observed(spark: SparkSession, source_path: str, target_path: str, source: str, target: str, *, mode: str = "errorifexists", by_file: bool = False, **options: object) -> tuple[DataFrame, DataFrame]:
+    """(roll-up by file, counts) of LDIF files that are read, migrated and written as LDIF, a folder for each category.
+
+    Files are read and converted once: all counts (metric, n) and those of each file are observed on the rows that are written. With `by_file` each category
+    has a folder for each source file (`file=`, by its name), and the roll-up counts the records in them, for any number of files; without it, more than MOST_FILES are an error. `mode` is that of Spark's writers.
+    """
+    from dirlake.operators import metrics
     from dirlake.sources import ldif
 
-    done = migrate(ldif.read_ldif(spark, source_path), source, target, **options)
-    text = ldif.written(done).select("category", "ldif")
-    text.write.partitionBy("category").option("lineSep", "\n\n").text(target_path)
-    return file_roll_up(done)
+    entries = ldif.read_ldif(spark, source_path)
+    sources = [] if by_file else ldif.sources_of(source_path, MOST_FILES)
+    done, seen = metrics.observed(migrate(entries, source, target, **options), "migration", sources=sources)
+    text = ldif.written(done).select("category", *([F.element_at(F.split("source", "/"), -1).alias("file")] if by_file else []), "ldif")
+    text.write.mode(mode).partitionBy("category", *(["file"] if by_file else [])).option("lineSep", "\n\n").text(target_path)
+    counts = metrics.report(spark, seen)
+    if by_file:
+        rows = spark.read.schema("value string, category string, file string").option("lineSep", "\n\n").text(target_path)
+        return file_roll_up(rows.select(F.col("file").alias("source"), "category")), counts
+    return metrics.by_source(spark, seen, sources), counts

@@ -81,6 +81,17 @@ def read_ldif(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8
     return numbered(found) if number else found
 
 
+def sources_of(path: str | list[str], most: int) -> list[str]:
+    """The values of `source` that `read_ldif` gives for a path; more than `most` files are an error."""
+    out = []
+    for p in [path] if isinstance(path, str) else path:
+        system, inner, before = source.place(p)
+        out += [before + f.path for f in source.files(system, inner)]
+    if len(out) > most:
+        raise ValueError(f"there are {len(out)} files, more than {most}")
+    return out
+
+
 def numbered(entries: DataFrame, block: int = 1 << 16) -> DataFrame:
     """Entries with `record_no` counted from 0 within each source. Blocks of the ordering numbers are counted, and each record's rank in its block is added to what earlier blocks of its file hold, so that no task ranks a whole file."""
     kept = stored(entries.withColumn("_block", F.floor(F.col("record_no") / block)))

@@ -54,6 +54,20 @@ def values_of(attrs: Column, name: str) -> Column:
     return F.coalesce(F.transform(found["values"], lambda v: v["value"]), F.array().cast("array<string>"))
 
 
+def values_exact(attrs: Column, name: str) -> Column:
+    """The values of the first attribute whose name is spelled exactly so; an empty array without one."""
+    found = F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))
+    return F.coalesce(F.transform(found["values"], lambda v: v["value"]), F.array().cast("array<string>"))
+
+
+def unconverted(text: Column) -> Column:
+    """Attributes that a conversion left in JSON: each member of an object as an attribute, in written order, a list as its values, anything else as its text; none where it is no object."""
+    raw = F.from_json(F.when(F.ltrim(text).startswith("{"), text), "map<string, string>")
+    listed = lambda v: F.when(F.startswith(v, F.lit("[")), F.from_json(v, "array<string>"))
+    each = F.transform(F.map_entries(raw), lambda e: F.struct(e["key"].alias("name"), F.transform(F.coalesce(listed(e["value"]), F.array(e["value"])), plain_value).alias("values")))
+    return F.coalesce(each.cast(ATTRS), F.array().cast(ATTRS))
+
+
 def first_value(attrs: Column, name: str) -> Column:
     return F.get(values_of(attrs, name), F.lit(0))
 

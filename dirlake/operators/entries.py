@@ -12,6 +12,7 @@ from dirlake import dialects as D
 from dirlake.functions import attrs as A
 from dirlake.functions.acl import rewrite_rules
 from dirlake.functions.dn import depth, is_under_base, is_valid_dn, norm_dn, rebase
+from dirlake.model import ATTRS
 from dirlake.storage import stored
 
 
@@ -33,6 +34,14 @@ def matches(attrs: Column, dn: Column, *, object_classes: Sequence[str] = (), mo
     return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
 
+def create(dn: Column, attrs: Column, classes: Sequence[str] = ()) -> Column:
+    """struct<dn, attrs, error>: an entry of a name and attributes, its object classes before them; one whose name is not valid has nothing but an error."""
+    own = F.array(A.attr_of_array("objectClass", F.array(*map(F.lit, classes)))).cast(ATTRS) if classes else F.array().cast(ATTRS)
+    valid = is_valid_dn(dn)
+    whole = F.concat(own, F.coalesce(attrs.cast(ATTRS), F.array().cast(ATTRS)))
+    return F.struct(F.when(valid, dn).alias("dn"), F.when(valid, whole).alias("attrs"), F.when(~valid, F.concat(F.lit("invalid DN: "), F.coalesce(dn, F.lit("")))).alias("error"))
+
+
 def by_base(df: DataFrame, base: str) -> DataFrame:
     """Entries at or below a base."""
     return df.where(is_under_base(F.col("dn"), F.lit(base)))

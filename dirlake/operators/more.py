@@ -75,15 +75,29 @@ def entry_statistics(before: Column, after: Column) -> Column:
     return F.struct(added.alias("added"), removed.alias("removed"), changed.alias("modified"), oc.alias("objectclasses_changed"), (F.size(added) + F.size(removed) + F.size(changed)).alias("total_attribute_changes"))
 
 
-def merge_statistics(df: DataFrame, key: str, counts: Sequence[str]) -> DataFrame:
-    """Rows of counts of parts (files, runs) as one row for each key, with the share of the first count in the second, if there are two."""
-    out = df.groupBy(key).agg(*(F.sum(c).alias(c) for c in counts))
+def merge_statistics(df: DataFrame, key: str, counts: Sequence[str], firsts: Sequence[str] = (), maps: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """Rows of counts of parts (files, runs) as one row for each key, with the share of the first count in the second, if there are two.
+
+    Of `firsts` the first value that is not null stays, by `order` (any, without one); the numbers in `maps`, such as those of reasons, are added by their keys. Maps
+    are added up key by key before they are put together, so a key with any number of parts is safe; a key without any entry has an empty map.
+    """
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.first(c, ignorenulls=True)
+    out = df.groupBy(key).agg(*(F.sum(c).alias(c) for c in counts), *(first(c).alias(c) for c in firsts))
+    for m in maps:
+        each = df.select(F.col(key).alias("_key"), F.explode(m).alias("k", "v")).groupBy("_key", "k").agg(F.sum("v").alias("v"))
+        whole = each.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(m))
+        out = out.join(whole, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn(m, F.coalesce(m, F.create_map().cast(whole.schema[m].dataType)))
     if len(counts) < 2:
         return out
     total = F.col(counts[1])
     return out.withColumn("rate", F.when(total == 0, 0.0).otherwise(F.round(100.0 * F.col(counts[0]) / total, 2)))
 
 
+def server_types(df: DataFrame, column: str = "server_type") -> DataFrame:
+    """(server_type, n): how many entries each dialect has; those without one are left out."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("server_type")).agg(F.count("*").alias("n"))
+
+
 def structural_violations(attrs: Column) -> Column:
     """More than one structural class, and attributes that a domain may not have."""
     low = F.transform(A.object_classes(attrs), F.lower)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlake.functions import attrs as A
+from dirlake.functions import attrs as A, schema4512 as S, validate as V
 from dirlake.model import ATTRS
 from dirlake.operators import by_dialect as B
+from dirlake.operators import compat as C, entries as E
+from dirlake.operators import more as M
 from dirlake.plans import tree
+from dirlake.plans.compat_queries import cases
 from dirlake.plans.queries import query
 
 #: An attribute that tells each dialect, and the spelling under which the query asks for its rules.
@@ -84,3 +87,61 @@ def acl_by_dialect(spark: SparkSession, sf: str) -> DataFrame:
     e = B.with_rules(B.detect_entries(mixed(spark, sf), rules), rules)
     found = B.acl_entries(e).join(e.select("dn", "c_custkey"), "dn")
     return found.select("c_custkey", "dialect", "attribute", "parsed.subject_type", "parsed.subject", F.array_join("parsed.target_attrs", ",").alias("target_attrs"), F.array_join("parsed.permissions", ",").alias("permissions"))
+
+
+@query(
+    _MIXED + """, f AS (SELECT CASE WHEN c_custkey % 7 = 3 THEN 'generic' ELSE dialect END AS dialect, count(*) AS entries FROM d GROUP BY 1)
+    SELECT dialect, entries, kind, dialect <> 'generic' AND (kind <> 'acl' OR dialect <> 'apache') AS supported FROM f, (SELECT unnest(['attribute', 'objectclass', 'acl', 'entry']) AS kind)"""
+)
+def supported_conversions(spark: SparkSession, sf: str) -> DataFrame:
+    """What can be converted of the dialects that a table's entries have; some are told to be of none."""
+    e = B.detect_entries(mixed(spark, sf), B.rule_table(spark))
+    return C.supported_in(e.withColumn("dialect", F.when(F.col("c_custkey") % 7 == 3, "generic").otherwise(F.col("dialect"))))
+
+
+@query(
+    _MIXED + """SELECT dialect, count(*) AS entries, min(c_custkey) FILTER (c_custkey % 3 <> 0) AS first_seen,
+    array_to_string(list_sort(list_filter([CASE WHEN count(*) FILTER (v = 1) > 0 THEN 'naming=' || count(*) FILTER (v = 1) END, CASE WHEN count(*) FILTER (v = 2) > 0 THEN 'class=' || count(*) FILTER (v = 2) END], lambda x: x IS NOT NULL)), ',') AS reasons FROM d GROUP BY 1"""
+)
+def statistics_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of many parts as those of a whole: counts and maps of reasons are added, and the first value that is there stays."""
+    e = B.detect_entries(mixed(spark, sf), B.rule_table(spark))
+    v = F.floor(F.col("c_custkey") / 8) % 4
+    seen = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey"))
+    one = F.when(v == 1, F.create_map(F.lit("naming"), F.lit(1).cast("bigint"))).when(v == 2, F.create_map(F.lit("class"), F.lit(1).cast("bigint")))
+    parts = e.select("dialect", F.lit(1).alias("entries"), seen.alias("first_seen"), one.alias("reasons"), "c_custkey")
+    whole = M.merge_statistics(parts, "dialect", ["entries"], firsts=["first_seen"], maps=["reasons"], order="c_custkey")
+    shown = F.transform(F.map_entries("reasons"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return whole.select("dialect", "entries", "first_seen", F.array_join(F.array_sort(shown), ",").alias("reasons"))
+
+
+@query(_MIXED + "SELECT dialect AS server_type, count(*) AS n FROM d GROUP BY 1")
+def server_types(spark: SparkSession, sf: str) -> DataFrame:
+    return M.server_types(B.detect_entries(mixed(spark, sf), B.rule_table(spark), "server_type"))
+
+
+@query("SELECT c_custkey, 'ds389' AS server_type, c_custkey % 3 = 1 OR c_custkey % 3 = 2 AS is_config_entry FROM customer")
+def tagged_entries(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("c_custkey") % 3 + 1).cast("int")
+    dn = F.concat(F.lit("cn="), "c_name", F.element_at(F.array(F.lit(",dc=x"), F.lit(",CN=Monitor"), F.lit(",cn=changelog,dc=x")), k))
+    return M.tag(tree.table(spark, sf, "customer").select("c_custkey", dn.alias("dn")), "ds389").drop("dn")
+
+
+def _spelled(x: Column) -> Column:
+    """Attributes from text: `name=value,name=value`."""
+    return F.transform(F.split(x, ","), lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.array(A.plain_value(F.substring_index(p, "=", -1))).alias("values"))).cast(ATTRS)
+
+
+cases("attrs_exact", [("Cn=@,cn=b,CN=c", "b"), ("CN=@", ""), ("cn=@", "@"), ("cn=@,cn=x", "@")], lambda x: F.array_join(A.values_exact(_spelled(x), "cn"), "|"))
+cases("attrs_merged", [("Cn=@,sn=s,cN=b", "Cn=@+b|sn=s"), ("OBJECTCLASS=top,cn=@,objectClass=person", "objectClass=top+person|cn=@"), ("a=@", "a=@")], lambda x: F.array_join(F.transform(A.merge_names(_spelled(x)), lambda a: F.concat(a["name"], F.lit("="), F.array_join(a["values"]["value"], "+"))), "|"))
+cases("attrs_unconverted", [('{"a": "@", "b": ["x", 1, true], "c": 2, "d": {"e": 1}}', 'a=@|b=x+1+true|c=2|d={"e":1}'), ("[1]", ""), (None, ""), ("{}", "")], lambda x: F.array_join(F.transform(A.unconverted(x), lambda a: F.concat(a["name"], F.lit("="), F.array_join(a["values"]["value"], "+"))), "|"))
+cases(
+    "oid_checks",
+    [("( 2.16.840.1.113894.1 NAME '@' )", "2.16.840.1.113894.1 true true"), ("( 1.2.3 NAME '@' )", "1.2.3 true false"), ("( 1..2 NAME '@' )", "1..2 false false"), ("NAME '@'", "none false false"), ("(2.16.840.1.113894 )", "2.16.840.1.113894 true true")],
+    lambda x: F.concat_ws(" ", F.coalesce(S.oid_of(x), F.lit("none")), V.numeric_oid_ok(S.oid_of(x)).cast("string"), F.coalesce(S.oid_of(x).rlike(r"^2\.16\.840\.1\.113894(\.|$)"), F.lit(False)).cast("string")),
+)
+cases(
+    "entry_created",
+    [("cn=@,dc=x", "cn=@,dc=x top+person ok"), ("@", "none  invalid DN: @"), ("", "none  invalid DN: "), (None, "none  invalid DN: ")],
+    lambda x: F.concat_ws(" ", *(F.coalesce(F.get(F.transform(F.array(E.create(x, A.entry_attrs(A.attr("cn", F.lit("a"))), ["top", "person"])), f), F.lit(0)), F.lit(o)) for f, o in ((lambda e: e["dn"], "none"), (lambda e: F.array_join(A.object_classes(e["attrs"]), "+"), "none"), (lambda e: e["error"], "ok")))),
+)

@@ -118,6 +118,9 @@ def running_sums(df: DataFrame, key: str, order: Sequence[str], values: Sequence
     by = [F.col(key), *(F.col(c) for c in order)]
     ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
     placed = ranged.sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).checkpoint()
+    # the sorted rows go with the driver's JVM, whether or not the cluster cleans checkpoints
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(placed._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
     names = [*values]
 

@@ -145,7 +145,8 @@ def _collisions(px: np.ndarray, py: np.ndarray, width: float) -> np.ndarray:
 
 
 def _linked(e: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
-    """Whether the cosine of each pair of rows of `e`, in double precision, is `cosine` or more."""
+    """Whether the cosine of each pair of rows of `e`, in double precision, is `cosine` or more. Rows are scaled by powers of two first, which changes no cosine, so that no square overflows or vanishes."""
+    e = np.ldexp(e, -np.frexp(np.abs(e).max(1))[1][:, None])
     n = np.sqrt((e * e).sum(1))
     out = np.zeros(len(i), bool)
     for s in range(0, len(i), 1 << 15):

@@ -134,9 +134,14 @@ def acl_entries(df: DataFrame, dialect: str = "rfc") -> DataFrame:
     return each.select("dn", F.col("a.name").alias("attribute"), F.posexplode("a.values.value").alias("pos", "acl"))
 
 
+def oid_numbers(definition: Column) -> Column:
+    """The numbers of a definition's OID, by which definitions are sorted; null without one."""
+    return F.transform(F.split(S.oid_of(definition), r"\."), lambda x: x.try_cast("bigint"))
+
+
 def sort_by_oid(df: DataFrame, definition: str = "definition") -> DataFrame:
     """Definitions by the numbers of their OIDs."""
-    return df.orderBy(F.transform(F.split(S.oid_of(F.col(definition)), r"\."), lambda x: x.cast("int")))
+    return df.orderBy(oid_numbers(F.col(definition)))
 
 
 def flags(dn: Column, attrs: Column, changetype: Column, dialect: str = "rfc") -> Column:

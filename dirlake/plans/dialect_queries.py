@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlake.functions import attrs as A, schema4512 as S, validate as V
+from dirlake.functions import attrs as A, dn as N, schema4512 as S, validate as V
 from dirlake.model import ATTRS
 from dirlake.operators import by_dialect as B
 from dirlake.operators import compat as C, entries as E
@@ -13,6 +13,7 @@ from dirlake.operators import more as M
 from dirlake.plans import tree
 from dirlake.plans.compat_queries import cases
 from dirlake.plans.queries import query
+from dirlake.sources import ldif
 
 #: An attribute that tells each dialect, and the spelling under which the query asks for its rules.
 _SIGNS = (("oid", "orclGUID", "Oracle_OID"), ("oud", "ds-sync-hist", "oud"), ("openldap2", "olcSuffix", "OpenLDAP"), ("ad", "objectGUID", " ActiveDirectory "), ("ds389", "nsUniqueId", "389DS"), ("novell", "nspmStatus", "edirectory"), ("ibm_tivoli", "ibm-entryUuid", "tivoli"), ("apache", "ads-id", "ApacheDS"))
@@ -145,3 +146,45 @@ cases(
     [("cn=@,dc=x", "cn=@,dc=x top+person ok"), ("@", "none  invalid DN: @"), ("", "none  invalid DN: "), (None, "none  invalid DN: ")],
     lambda x: F.concat_ws(" ", *(F.coalesce(F.get(F.transform(F.array(E.create(x, A.entry_attrs(A.attr("cn", F.lit("a"))), ["top", "person"])), f), F.lit(0)), F.lit(o)) for f, o in ((lambda e: e["dn"], "none"), (lambda e: F.array_join(A.object_classes(e["attrs"]), "+"), "none"), (lambda e: e["error"], "ok")))),
 )
+
+
+@query("SELECT c_custkey, '1.' || c_custkey % 11 || '.' || c_custkey AS oid, row_number() OVER (ORDER BY [1, c_custkey % 11, c_custkey]) AS place FROM customer")
+def definitions_by_number(spark: SparkSession, sf: str) -> DataFrame:
+    """The places of definitions by the numbers of their OIDs, not by their text."""
+    k = F.col("c_custkey")
+    oid = F.concat(F.lit("1."), (k % 11).cast("string"), F.lit("."), k.cast("string"))
+    d = tree.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("( "), oid, F.lit(" NAME 'x' )")).alias("definition"))
+    return E.ranked(d, M.oid_numbers(F.col("definition"))).select("c_custkey", S.oid_of(F.col("definition")).alias("oid"), "place")
+
+
+@query("SELECT c_custkey * 2 + i AS n, 'cn=' || c_name || ',dc=x' AS canonical FROM customer, (VALUES (0), (1)) v(i)")
+def dn_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    """The first spelling of each name, for all of its spellings."""
+    c = tree.table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("n"), F.concat(F.lit("cn="), "c_name", F.lit(",dc=x")).alias("dn"))
+    both = c.unionByName(c.select((F.col("n") + 1).alias("n"), F.concat(F.lit(" "), F.upper("dn")).alias("dn")))
+    return N.canonical(both, order="n").select("n", F.col("canonical_dn").alias("canonical"))
+
+
+@query(
+    _MIXED + """, e AS (SELECT v, dialect, unnest([CASE WHEN v = 3 AND dialect IN ('oid', 'oud', 'openldap2') THEN 'Server requires '';binary'' option for ''description''' END, CASE WHEN v = 1 AND dialect IN ('oid', 'oud', 'ad') THEN 'Server requires naming attribute ''cn''' END, CASE WHEN v = 2 AND dialect NOT IN ('openldap2', 'apache') THEN 'Server requires objectClass attribute' END]) AS error FROM d)
+    SELECT (SELECT count(*) FROM customer) AS total, (SELECT count(*) FROM e WHERE error IS NOT NULL) AS invalid, (SELECT string_agg(DISTINCT error, ';' ORDER BY error) FROM e) AS errors"""
+)
+def validation_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The roll-up's errors themselves: distinct and in the order of their text."""
+    rules = B.rule_table(spark)
+    e = B.with_rules(B.detect_entries(mixed(spark, sf), rules), rules).select(B.server_violations(F.col("dn"), F.col("attrs"), F.col("rules")).alias("violations"))
+    return V.roll_up(e).select("total", "invalid", F.array_join("errors", ";").alias("errors"))
+
+
+@query("""SELECT c_custkey, '# [REJECTION] No category match' || chr(10) || '# [REMOVED] l: x' || chr(10) || '# [TRANSFORMED] cn: a -> ' || c_name || chr(10) || '# ' || repeat('=', 70) || chr(10) || '# ORIGINAL Entry (alternative format) (commented)' || chr(10) || '# ' || repeat('=', 70) || chr(10)
+    || '# dn: cn=' || c_name || chr(10) || '# cn: a' || chr(10) || '# ' || repeat('=', 70) || chr(10) || '# CONVERTED OUD Entry (active)' || chr(10) || '# ' || repeat('=', 70) || chr(10) || 'dn: cn=' || c_name || chr(10) || 'cn: ' || c_name AS ldif, CAST(11 AS INTEGER) AS n_read, TRUE AS same FROM customer""")
+def comments_written(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes on a conversion and the original entry as comments: written with one sign each, and read back as they were."""
+    name = F.col("c_name")
+    change = lambda kind, a, x, y: F.struct(F.lit(kind).alias("kind"), F.lit(a).alias("attribute"), F.lit(x).alias("original"), y.cast("string").alias("converted"))
+    notes = C.change_comments(F.array(change("removed", "l", "x", F.lit(None)), change("changed", "cn", "a", name), change("added", "sn", "", name)), F.lit("No category match"))
+    block = C.original_comment(F.concat(F.lit("dn: cn="), name, F.lit("\ncn: a")))
+    e = tree.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("cn="), name).alias("dn"), A.entry_attrs(A.attr("cn", name)).cast(ATTRS).alias("attrs"), C.as_comments(notes, F.split(block, "\n")).alias("comments"))
+    text = ldif.written(e, comments=True)
+    back = ldif.parse(text.select("c_custkey", "ldif", F.col("comments").alias("told"), F.col("ldif").alias("record")))
+    return back.select("c_custkey", "ldif", F.size("comments").alias("n_read"), (F.col("comments") == F.col("told")).alias("same"))

@@ -66,7 +66,7 @@ def fold_text(line: str, width: int = WIDTH) -> str:
 
 
 def fold_line(line: Column, width: int = WIDTH) -> Column:
-    """Fold at UTF-8 bounds; lines that are short enough never reach Python."""
+    """Fold at UTF-8 bounds; lines of `width` bytes at most stay as they are."""
 
     @F.arrow_udf("string")
     def folded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

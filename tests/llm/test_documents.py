@@ -97,6 +97,14 @@ def test_rules_keep_what_plain_counts_keep(spark, odd):
     assert Counter(((r.text, r.lang), r.kept) for r in got) == want and {r.kept for r in got} == {True, False}
 
 
+def test_kept_rows_pass_one_python_worker(spark, odd):
+    """Each Arrow function of a task has a worker of its own, and four of them in an executor of two cores broke its memory."""
+    kept = quality_rules.keep_good(odd)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = quality_rules.judge(odd).where("q.kept").select("own.*")
+    assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, want.collect())) and kept.count()
+
+
 def test_rules_without_rows_or_references(odd, nothing):
     assert rows(quality_rules.judge(nothing)) == [] and quality_rules.keep_good(odd.where("lang is null")).columns == odd.columns
     assert quality_rules.fit_references(nothing) == {}

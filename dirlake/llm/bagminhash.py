@@ -332,4 +332,19 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     with scratch():
         rows = _numbered(docs, "text", keep=True)
         first = work_table(_placed(rows, "text", "doc_id").select("first.row").distinct(), keep=True)
-    return rows.where("bands is not null").join(first, "row", "left_semi").select("own.*").union(rows.where("bands is null").select("own.*"))
+    return _picked(rows, first, F.col("bands").isNull()).select("own.*")
+
+
+def _picked(rows: DataFrame, first: DataFrame, always: Column, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of `rows` whose `row` is in the stored table `first`, and those where `always` holds.
+
+    Up to `most_bytes`, `first` goes to every task as bitmaps of 4 KB, each of 32,768 numbers, so that whole rows stay where they are. Beyond that, rows are joined by a shuffle.
+    """
+    numbered = first.select("row", F.bitmap_bucket_number("row").alias("bucket"))
+    if numbered.select("bucket").distinct().count() * 4096 > most_bytes:
+        return rows.where(~always).join(first, "row", "left_semi").union(rows.where(always))
+    maps = numbered.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits"))
+    place = F.bitmap_bit_position("row")
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("bucket", F.bitmap_bucket_number("row")).join(F.broadcast(maps), "bucket", "left")
+    return held.where(always | F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).select(*rows.columns)

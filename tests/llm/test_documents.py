@@ -259,6 +259,28 @@ def test_stage_keeps_one_row_of_each_class_of_rows(spark, odd):
     assert sorted(r.text for r in got) == sorted([prose(3), prose(9), prose(12)]) and {r.doc_id for r in got} == {3, 7, None}
 
 
+def test_kept_rows_are_picked_where_they_are(spark):
+    """Whole rows are not shuffled to be picked, and the bitmaps hold what a join finds, at the ends of bytes and of bitmaps too."""
+    numbers = [k + (p << 33) for p in (0, 1, 5) for k in (*range(20), 255, 256, 32766, 32767, 32768, 32769, 32770, 65536, 65537)]
+    table = spark.createDataFrame([(n, f"t{n}", n % 5 == 0) for n in numbers], "row bigint, own string, free boolean").repartition(5)
+    first = spark.createDataFrame([(n,) for n in numbers if n * 7 % 3 == 0] * 2 + [(10**12,)], "row bigint")
+    want = sorted((n, f"t{n}") for n in numbers if n * 7 % 3 == 0 or n % 5 == 0)
+    for most in (32 << 20, 0):
+        got = bagminhash._picked(table, first.distinct(), F.col("free"), most)
+        assert sorted((r.row, r.own) for r in got.collect()) == want and got.columns == table.columns
+    assert sorted(r.row for r in bagminhash._picked(table, first.where("false"), F.col("free")).collect()) == [n for n in sorted(numbers) if n % 5 == 0]
+
+
+def test_stage_shuffles_no_whole_rows_to_pick_them(spark, odd):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bagminhash.keep_rows(odd.select("doc_id", "text", "lang", "source", "n_chars"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and plan.count("own") and plan.count("hashpartitioning") == 1
+
+
 def test_signatures_estimate_weighted_similarity():
     a = " ".join(["x y z u v w"] * 40)
     b = " ".join(["x y z u v w"] * 60)

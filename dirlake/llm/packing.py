@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +87,15 @@ def pack(docs: DataFrame, text: str = "text", source: str = "source", doc_id: st
     that memory stays bounded. A block sees conflicts only inside its own bins, and no bin spans blocks. Ties in size are placed in the order of the deal.
     """
     own = F.xxhash64(F.col(text)) if cluster is None else F.when(F.col(cluster).isNotNull(), F.xxhash64(F.col(cluster)))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("cluster"), F.xxhash64(F.col(doc_id), F.col(text)).alias("deal"), size_of(F.col(text)).alias("n_words")).where("n_words > 0")
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), own.alias("cluster"), F.xxhash64(F.col(doc_id), F.col(text)).alias("deal"), size_of(F.col(text)).alias("n_words"))
     parts = max(1, -(-docs.count() // block))
     dealt = narrow.repartition(parts, "deal").sortWithinPartitions("deal", "source", "n_words").withColumn("place", F.spark_partition_id())
     kind = dict(narrow.dtypes)["doc_id"]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
-        for rows in _blocks(batches, block):
+        # texts without words go here: a filter in the plan would move below the count and evaluate it again, in a Python worker more
+        for rows in _blocks((b.filter(pc.greater(b.column("n_words"), 0)) for b in batches), block):
             names, clusters, sizes = (rows.column(c).to_pylist() for c in ("source", "cluster", "n_words"))
             done = pack_block(sizes, names, clusters, capacity)
             base = (rows.column("place")[0].as_py() << 40) + (number << 20)

@@ -393,6 +393,11 @@ def test_packing_constraints(odd, nothing):
     assert rows(packing.pack(nothing)) == []
 
 
+def test_packing_counts_words_once(odd):
+    """A count in a filter and in a column took two Python workers in each task."""
+    assert packing.pack(odd)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def plain_pack(rows, capacity):
     """(row, part, words, bin, start) by looking at every open bin: rows (size, source, cluster)."""
     bins, out, counts = [], [], Counter(c for _, _, c in rows)

@@ -12,7 +12,7 @@ from dirlake.operators import compat as C
 from dirlake.plans import tree
 from dirlake.plans.queries import _TREE, query
 from dirlake.sources import ldif, ldif_source, recover
-from dirlake.storage import new_path
+from dirlake.storage import new_path, stored
 
 
 def _people(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,14 +113,18 @@ def ldif_recovered_written(spark: SparkSession, sf: str) -> DataFrame:
 SELECT c_custkey, CAST(r AS BIGINT) AS record_no, CASE r WHEN 0 THEN dn ELSE 'cn=' || r || ',' || dn END AS dn, CASE WHEN r = 0 THEN 'r' || c_custkey END AS rule_name, CASE WHEN r = 0 THEN a.kind END AS kind, CASE WHEN r = 0 THEN a.permissions END AS permissions, CASE WHEN r = 0 THEN a.rule END AS rule
 FROM x, (SELECT unnest(range(0, 3)) AS r) n, (VALUES (0, 'allow', 'read,search', 'userdn self not'), (1, 'deny', 'write', 'ip 1.* userdn all or')) a(i, kind, permissions, rule) WHERE r <= k AND (r = 0 OR i = 0)""")
 def tables_in_lateral(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of several records, one of which bears an instruction of two clauses, taken apart in one SQL text."""
+    """Texts of several records, one of which bears an instruction of two clauses, taken apart in SQL texts."""
     tables.register(spark)
-    c = tree.customers(spark, sf)
+    # a small file of customers makes much text to parse
+    c = tree.customers(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism)
     rule = F.concat(F.lit('aci: (version 3.0; acl "r'), F.col("record_no").cast("string"), F.lit('"; allow (read, search) not userdn="ldap:///self"; deny (write) ip="1.*" or userdn="ldap:///all";)'))
     more = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("record_no") % 3).cast("int")), lambda i: F.when(i == 0, F.concat(F.lit("dn: "), "dn", F.lit("\ncn: x\n"), rule)).otherwise(F.concat(F.lit("dn: cn="), i.cast("string"), F.lit(","), F.col("dn"), F.lit("\ncn: y")))), "\n\n")
     c.select(F.col("record_no").alias("c_custkey"), F.concat(F.lit("version: 1\n\n"), more).alias("text")).createOrReplaceTempView("dirlake_ldif_texts")
     shown = "array_join(transform(a.steps, s -> coalesce(s.op, concat_ws(' ', s.key, array_join(s.values, '|')))), ' ')"
+    # a lateral left join reads its left side twice and joins on the argument, which would bring all nulls together
+    read = stored(spark.sql("SELECT t.c_custkey, e.record_no, e.dn, get(get(filter(e.attrs, x -> lower(x.name) = 'aci'), 0).values, 0).value AS aci FROM dirlake_ldif_texts t, LATERAL parse_ldif(t.text) e"))
+    read.createOrReplaceTempView("dirlake_ldif_records")
     return spark.sql(f"""
         SELECT r.c_custkey, r.record_no, r.dn, a.name AS rule_name, a.kind, array_join(a.permissions, ',') AS permissions, {shown} AS rule
-        FROM (SELECT t.c_custkey, e.record_no, e.dn, get(get(filter(e.attrs, x -> lower(x.name) = 'aci'), 0).values, 0).value AS aci FROM dirlake_ldif_texts t, LATERAL parse_ldif(t.text) e) r
-        LEFT JOIN LATERAL parse_acl(r.aci) a ON true""")
+        FROM dirlake_ldif_records r LEFT JOIN LATERAL parse_acl(r.aci) a ON true WHERE r.aci IS NOT NULL
+        UNION ALL SELECT c_custkey, record_no, dn, NULL, NULL, NULL, NULL FROM dirlake_ldif_records WHERE aci IS NULL""")

@@ -33,14 +33,16 @@ def value_of(component: Column) -> Column:
 
 def split_dn(dn: Column) -> Column:
     """Components between unescaped commas, trimmed, empty ones left out."""
-    parts = F.regexp_extract_all(dn, F.lit(r"(?:\\.|[^,\\]|\\$)+"), F.lit(0))
+    parts = F.regexp_extract_all(dn, F.lit(r"(?:[^,\\]++|\\.|\\$)++"), F.lit(0))
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def norm_dn(dn: Column) -> Column:
     """Attribute types in lower case, blanks around the parts dropped, values as they are; null without any `=`."""
     parts = F.filter(split_dn(dn), lambda p: p.contains("="))
-    return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda p: F.concat(attr_of(p), F.lit("="), value_of(p))), ","))
+    joined = F.array_join(F.transform(parts, lambda p: F.concat(attr_of(p), F.lit("="), value_of(p))), ",")
+    # named once, so that the parts are not split again for a condition
+    return F.get(F.filter(F.array(joined), lambda name: name != ""), F.lit(0))
 
 
 def norm_or_lower(dn: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dirlake.functions import attrs as A
 from dirlake.sources import ldif
-from dirlake.storage import new_path
+from dirlake.storage import new_path, stored
 from dirlake.streaming import replay
 from dirlake.streaming.changelog import apply_changes, windowed_counts
 
@@ -39,38 +39,54 @@ def changelog_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _finish(windowed_counts(_stream(spark, sf)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+#: Fixed value: numbers of events in a block, whose renames one row holds.
+_BLOCK = 10_000
+
+
+def _names(e: DataFrame) -> DataFrame:
+    """(block, unit, units, unit_before, tops, top_before): the events of a block that rename a unit and the unit above it, and the last ones before the block."""
+    at = lambda is_one: F.array_sort(F.collect_list(F.when(is_one, F.col("event_id"))))
+    units = e.groupBy("block", "unit").agg(at(F.col("event_id") % 200 == 7).alias("units"), at(F.col("event_id") % 500 == 13).alias("tops"))
+    tops = units.groupBy("block").agg(F.flatten(F.collect_list("tops")).alias("tops"))
+    before = lambda c, w: F.max(F.array_max(c)).over(w.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    # a block is one row in these windows
+    units = units.select("block", "unit", "units", before("units", Window.partitionBy("unit")).alias("unit_before"))
+    return units.join(tops.withColumn("top_before", before("tops", Window)), "block", "left")
+
+
 def _log(spark: SparkSession, sf: str) -> DataFrame:
-    """(seq, ts, entry columns): the events as change records, whose names follow the renames of units and of the unit above them."""
+    """(seq, ts, record): the events as change records, whose names follow the renames of units and of the unit above them."""
     e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.concat(F.lit("u"), F.col("user_id") % 5).alias("unit"))
-    moved = e.select("event_id", "unit", (F.col("event_id") % 200 == 7).alias("u"), (F.col("event_id") % 500 == 13).alias("t")).where("u or t")
-    # what each name is called up to which event: one small table for each name, and a lookup in it
-    names = moved.where("u").groupBy("unit").agg(F.array_sort(F.collect_list("event_id")).alias("at"))
-    tops = moved.where("t").agg(F.array_sort(F.collect_list("event_id")).alias("tops"))
-    e = e.join(names, "unit", "left").withColumn("tops", tops.scalar())
-    called = lambda name, at: F.concat(F.lit("ou="), name, F.coalesce(F.concat(F.lit("R"), F.element_at(F.concat(F.array(F.lit(None).cast("bigint")), F.filter(at, lambda x: x < F.col("event_id"))), -1).cast("string")), F.lit("")))
-    unit, top = called(F.col("unit"), F.coalesce("at", F.array().cast("array<bigint>"))), called(F.lit("top"), F.col("tops"))
-    e = e.select("event_id", "ts", "user_id", "event_type", "value", "unit", unit.alias("unit_rdn"), top.alias("top_rdn"))
+    # few row groups make much text to parse
+    e = e.withColumn("block", F.floor(F.col("event_id") / _BLOCK)).repartition(4 * spark.sparkContext.defaultParallelism)
+    e = e.join(_names(e), ["block", "unit"], "left")
+    last = lambda at, before: F.coalesce(F.array_max(F.filter(at, lambda x: x < F.col("event_id"))), before)
+    called = lambda name, at, before: F.concat(F.lit("ou="), name, F.coalesce(F.concat(F.lit("R"), last(F.col(at), F.col(before)).cast("string")), F.lit("")))
+    e = e.select("event_id", "ts", "user_id", "event_type", "value", "unit", called(F.col("unit"), "units", "unit_before").alias("unit_rdn"), called(F.lit("top"), "tops", "top_before").alias("top_rdn"))
     is_type = lambda t: F.col("event_type") == t
     number = F.col("event_id").cast("string")
     body = F.when(is_type("signup"), F.concat(F.lit("add\nobjectClass: person\ncn: user "), F.col("user_id").cast("string"), F.lit("\nhits: 0\nborn: "), number))
     body = body.when(is_type("error"), "delete").when(is_type("view"), "modify\nincrement: hits\nhits: 1\n-")
     body = body.when(is_type("click"), F.concat(F.lit("modify\nadd: seen\nseen: "), (F.floor("value") % 10).cast("string"), F.lit("\n-")))
     body = body.otherwise(F.concat(F.lit("modify\nreplace: last\nlast: "), number, F.lit("\n-"), F.when(F.col("event_id") % 3 == 0, F.lit("\ndelete: seen\n-")).otherwise("")))
-    own = e.select((F.col("event_id") * 3).alias("seq"), "ts", F.concat(F.lit("dn: UID="), F.col("user_id").cast("string"), F.lit(", "), "unit_rdn", F.lit(","), "top_rdn", F.lit(",dc=x\nchangetype: "), body).alias("record"))
+    named = lambda k, *parts: F.struct((F.col("event_id") * 3 + k).alias("seq"), F.concat(F.lit("dn: "), *parts).alias("record"))
     renamed = lambda rdn: F.concat(F.lit("modrdn\nnewrdn: ou="), rdn, F.lit("R"), number, F.lit("\ndeleteoldrdn: 1"))
-    units = e.where("event_id % 200 = 7").select((F.col("event_id") * 3 + 1).alias("seq"), "ts", F.concat(F.lit("dn: "), "unit_rdn", F.lit(","), "top_rdn", F.lit(",dc=x\nchangetype: "), renamed(F.col("unit"))).alias("record"))
-    above = e.where("event_id % 500 = 13").select((F.col("event_id") * 3 + 2).alias("seq"), "ts", F.concat(F.lit("dn: "), "top_rdn", F.lit(",dc=x\nchangetype: "), renamed(F.lit("top"))).alias("record"))
-    return ldif.parse(own.unionByName(units).unionByName(above))
+    own = named(0, F.lit("UID="), F.col("user_id").cast("string"), F.lit(", "), "unit_rdn", F.lit(","), "top_rdn", F.lit(",dc=x\nchangetype: "), body)
+    unit = F.when(F.col("event_id") % 200 == 7, named(1, "unit_rdn", F.lit(","), "top_rdn", F.lit(",dc=x\nchangetype: "), renamed(F.col("unit"))))
+    above = F.when(F.col("event_id") % 500 == 13, named(2, "top_rdn", F.lit(",dc=x\nchangetype: "), renamed(F.lit("top"))))
+    return e.select("ts", F.explode(F.array_compact(F.array(own, unit, above))).alias("r")).select("r.seq", "ts", "r.record")
 
 
 def changelog_values(spark: SparkSession, sf: str) -> DataFrame:
     """What the log leaves of every entry; its first half is applied before the second comes."""
     path = new_path(spark)
-    log = _log(spark, sf)
+    log = stored(_log(spark, sf))
     half = spark.read.parquet(f"{sf}/events.parquet").agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0] * 3 // 2
     for own in (F.col("seq") <= half, F.col("seq") > half):
-        log.where(own).write.mode("append").parquet(f"{path}/log")
-        stream = spark.readStream.schema(log.schema).parquet(f"{path}/log")
+        # the half is taken before its records are parsed
+        entries = ldif.parse(log.where(own))
+        entries.write.mode("append").parquet(f"{path}/log")
+        stream = spark.readStream.schema(entries.schema).parquet(f"{path}/log")
         entries, renames = replay.replay(spark, replay.records(stream, time="ts"), f"{path}/work")
     users = replay.current_names(entries.where(F.contains("key", F.lit("\nuid="))), renames)
     attrs = F.transform("attrs", lambda a: F.struct(a["name"].alias("name"), F.transform(a["values"], A.plain_value).alias("values")))

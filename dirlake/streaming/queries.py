@@ -57,9 +57,9 @@ def _names(e: DataFrame) -> DataFrame:
 def _log(spark: SparkSession, sf: str) -> DataFrame:
     """(seq, ts, record): the events as change records, whose names follow the renames of units and of the unit above them."""
     e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.concat(F.lit("u"), F.col("user_id") % 5).alias("unit"))
+    e = e.withColumn("block", F.floor(F.col("event_id") / _BLOCK))
     # few row groups make much text to parse
-    e = e.withColumn("block", F.floor(F.col("event_id") / _BLOCK)).repartition(4 * spark.sparkContext.defaultParallelism)
-    e = e.join(_names(e), ["block", "unit"], "left")
+    e = e.repartition(4 * spark.sparkContext.defaultParallelism).join(_names(e), ["block", "unit"], "left")
     last = lambda at, before: F.coalesce(F.array_max(F.filter(at, lambda x: x < F.col("event_id"))), before)
     called = lambda name, at, before: F.concat(F.lit("ou="), name, F.coalesce(F.concat(F.lit("R"), last(F.col(at), F.col(before)).cast("string")), F.lit("")))
     e = e.select("event_id", "ts", "user_id", "event_type", "value", "unit", called(F.col("unit"), "units", "unit_before").alias("unit_rdn"), called(F.lit("top"), "tops", "top_before").alias("top_rdn"))

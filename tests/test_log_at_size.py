@@ -64,3 +64,10 @@ def test_names_are_split_as_before_at_any_length(spark):
     assert [r[0] for r in df.select(D.norm_dn(F.col("dn"))).collect()] == ["cn=a\\,b,o=x\\", "b=c", None, None, None, None, "a=\\\\,b=\\", "a=b\nc,d=", None]
     long = "cn=" + "a\\," * 50_000
     assert spark.createDataFrame([(f"{long}, O=x",)], "dn string").select(D.norm_dn(F.col("dn"))).first()[0] == f"{long},o=x"
+
+
+def test_paths_of_plain_and_escaped_names_are_alike(spark):
+    names = ["UID=1, ou=A B ,dc=X", " cn = a = b ,, \t,no part, O=", "=x,DC=Y", "cn=a\\,b,O=x", "cn=a\\ ,o=x", "cn=ΑΣ,ou=İ", "cn=a\nb,\nou=c\t"]
+    df = spark.createDataFrame([(n,) for n in names], "dn string")
+    general = F.reverse(D.split_dn(F.lower(D.norm_dn(F.col("dn")))))
+    assert [r[0] for r in df.select(P._path(F.col("dn"))).collect()] == [r[0] for r in df.select(general).collect()]

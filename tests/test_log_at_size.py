@@ -1,9 +1,11 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dirlake.functions import dn as D
+from dirlake.functions import records as R
 from dirlake.sources import ldif
 from dirlake.streaming import queries as Q
 from dirlake.streaming import replay as P
@@ -71,3 +73,12 @@ def test_paths_of_plain_and_escaped_names_are_alike(spark):
     df = spark.createDataFrame([(n,) for n in names], "dn string")
     general = F.reverse(D.split_dn(F.lower(D.norm_dn(F.col("dn")))))
     assert [r[0] for r in df.select(P._path(F.col("dn"))).collect()] == [r[0] for r in df.select(general).collect()]
+
+
+def test_only_odd_names_are_checked_one_by_one(monkeypatch):
+    plain, odd = ["cn=a", " a-1= ,\tO=x=y", "cn=a\n,o=é "], ["", None, "cn", "1a=x", "cn=a,,o=x", "cn=a,", ",cn=a", "cn=a\\,b", "cn=a,b", "cn=\\", "a=b,c d=e", "a =b", "\\", "cn=a,2.5=x"]
+    names = pa.array(plain + odd, pa.string())
+    want, seen = [R.dn_error(n) for n in names.to_pylist()], []
+    check = R.dn_error
+    monkeypatch.setattr(R, "dn_error", lambda n: seen.append(n) or check(n))
+    assert R._dn_errors(names).to_pylist() == want and seen == odd and R._dn_errors(pa.array([], pa.string())).to_pylist() == []
